@@ -1,9 +1,9 @@
 """Token ids by the tokenizers library, with a bounded cache of words.
 
-Both vocabularies never join characters across the start of a word: byte-level BPE cuts a text into words with at most
-one leading space, and runs of whitespace; the lower-casing vocabulary drops whitespace.  So a text's ids are the
-concatenation of its words' ids, and a word needs to be encoded only once per worker.  ``tests/llm`` hold this against
-the library's ids for whole texts.
+Both vocabularies cut a text into words before they merge, and never merge across them.  So a text's ids are the
+concatenation of its words' ids, and a worker needs to run the library's model on a word once.  Texts of Latin-1
+characters are cut here into the same words as the library does; others are cut at spaces only, and the library encodes
+those parts.  ``tests/llm`` hold both against the library's ids for whole texts.
 """
 
 from __future__ import annotations
@@ -13,9 +13,29 @@ import re
 import sys
 
 #: What the libraries' regular expressions take as \\s: the White_Space property.
-WS = "\t-\r \x85\xa0  -     　"
-PARTS = {"byte_bpe_50k.json": re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+"), "word_bpe_49k.json": re.compile(f"[^{WS}]+")}
-TEXTS = 256
+WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin-1's lower-case and other letters, upper-case letters, numbers and spaces.
+LOW, UP, NUM, GAP = "a-zªµºß-öø-ÿ", "A-ZÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+SHORT = "'(?:[stmd]|re|ve|ll)"
+#: For each file: words of Latin-1 texts, parts of others, and what is done to a Latin-1 text first.
+CUTS = {
+    "byte_bpe_50k.json": (
+        re.compile(f"{SHORT}| ?[{LOW}{UP}]+| ?[{NUM}]+| ?[^{GAP}{LOW}{UP}{NUM}]+|[{GAP}]+(?![^{GAP}])|[{GAP}]+"),
+        re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+"),
+        str,
+    ),
+    "word_bpe_49k.json": (re.compile(f"{SHORT}|[{LOW}]+|[{NUM}]|[^{GAP}{LOW}{NUM}]+"), re.compile(f"[^{WS}]+"), str.lower),
+}
+
+
+def _byte_signs() -> dict[int, str]:
+    """The characters by which byte-level models write bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+SIGNS = _byte_signs()
 
 
 def little(ids) -> bytes:
@@ -26,31 +46,42 @@ def little(ids) -> bytes:
     return a.tobytes()
 
 
+class Memo(dict):
+    """What ``find`` gives for a word, kept for the first ``limit`` words that turn up; later rare ones are found anew."""
+
+    def __init__(self, find, limit: int):
+        self.find, self.limit = find, limit
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.find(word)
+        if len(self) < self.limit:
+            self[word] = out
+        return out
+
+
 class WordEncoder:
-    """Encodes texts with one vocabulary file; ``limit`` bounds the cached words, rarer ones are encoded anew."""
+    """Encodes texts with one vocabulary file; ``limit`` bounds the cached words (about 200 bytes each)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = PARTS[path.rsplit("/", 1)[-1]]
-        self.limit, self.known = limit, {}
+        self.words, self.parts, self.first = CUTS[path.rsplit("/", 1)[-1]]
+        model = self.tokenizer.model.tokenize
+        self.word_ids = Memo(lambda w: little([t.id for t in model(w.encode().decode("latin-1").translate(SIGNS))]), limit).__getitem__
+        self.part_ids = Memo(lambda w: little(self.tokenizer.encode(w, add_special_tokens=False).ids), limit // 4).__getitem__
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids' bytes."""
         out = []
-        for at in range(0, len(texts), TEXTS):
-            split = [self.parts.findall(t) for t in texts[at : at + TEXTS]]
-            new = list(set().union(*split) - self.known.keys())
-            got = {w: little(e.ids) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
-            if len(self.known) + len(got) <= self.limit:
-                self.known.update(got)
-                find = self.known.__getitem__
+        for text in texts:
+            try:
+                text.isascii() or text.encode("latin-1")
+            except UnicodeEncodeError:
+                out.append(b"".join(map(self.part_ids, self.parts.findall(text))))
             else:
-                own, known = got, self.known
-                find = lambda w: known[w] if w in known else own[w]
-            out += [b"".join(map(find, words)) for words in split]
+                out.append(b"".join(map(self.word_ids, self.words.findall(self.first(text)))))
         return out
 
 
