@@ -75,7 +75,7 @@ def fn_regex(spark, sf_dir):
     )
 
 
-by_sql("fn_array", "SELECT p_partkey, element_at(array(p_size, 7, 9), 2) AS second, CAST(size(array(1, p_size)) AS BIGINT) AS n, array_contains(array(1, 2, 3), p_size) AS in_it, array_join(array(p_brand, p_type), '/') AS joined FROM part",
-       "SELECT p_partkey, [p_size, 7, 9][2] AS second, len([1, p_size]) AS n, list_contains([1, 2, 3], p_size) AS in_it, array_to_string([p_brand, p_type], '/') AS joined FROM part")
+by_sql("fn_array", "SELECT p_partkey, element_at(split(p_type, ' '), 1) AS first, CAST(size(split(p_type, ' ')) AS BIGINT) AS n, array_contains(array(1, 2, 3), p_size) AS in_it, array_join(array(p_brand, p_type), '/') AS joined FROM part",
+       "SELECT p_partkey, str_split(p_type, ' ')[1] AS first, CAST(len(str_split(p_type, ' ')) AS BIGINT) AS n, list_contains([1, 2, 3], p_size) AS in_it, array_to_string([p_brand, p_type], '/') AS joined FROM part")
 by_sql("fn_conditional", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'done') AS c, if(o_totalprice > 1000, 'hi', NULL) AS i, ifnull(NULL, o_custkey) AS n, greatest(o_orderkey, NULL, 5) AS g FROM orders",
        "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'done') AS c, if(o_totalprice > 1000, 'hi', NULL) AS i, ifnull(NULL, o_custkey) AS n, greatest(o_orderkey, NULL, 5) AS g FROM orders")

@@ -1 +1,151 @@
-"""Queries."""
+"""Text search, vectors and space."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fts, spatial, vectors
+from ..operators import search
+from .base import load, query
+
+_FROM = "".join(fts.ACCENTS)
+_TO = "".join(fts.ACCENTS.values())
+_STEM = "CASE WHEN length(w) <= 3 THEN w " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) >= {len(s) + n} THEN left(w, length(w) - {len(s)}) || '{t}'" for s, t, n in fts.SUFFIXES) + " ELSE w END"
+TOK = f"t AS (SELECT doc_id, text, [{_STEM} for w in string_split_regex(translate(lower(text), '{_FROM}', '{_TO}'), '[^\\p{{L}}\\p{{N}}]+') if w <> ''] AS toks FROM documents)"
+
+
+def docs(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM t WHERE list_contains(toks, 'elle') AND list_contains(toks, 'pour')")
+def fts_match_and(spark, sf_dir):
+    return search.match(docs(spark, sf_dir), ["text"], "elle pour").select("doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM t WHERE (list_contains(toks, 'license') OR list_contains(toks, 'copyright')) AND NOT list_contains(toks, 'version')")
+def fts_or_not(spark, sf_dir):
+    return search.match(docs(spark, sf_dir), ["text"], "license OR copyright -version").select("doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM t WHERE contains(' ' || array_to_string(toks, ' ') || ' ', ' of the and ')")
+def fts_phrase(spark, sf_dir):
+    return search.match(docs(spark, sf_dir), ["text"], '"of the and"').select("doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM t WHERE len([x for x in toks if starts_with(x, 'licen')]) > 0 AND len([x for x in toks if starts_with(x, 'apac')]) > 0")
+def fts_prefix(spark, sf_dir):
+    return search.match(docs(spark, sf_dir), ["text"], "licen* apac*").select("doc_id")
+
+
+@query(f"WITH {TOK}, w AS (SELECT doc_id, toks FROM t) SELECT doc_id, CAST(len(toks) AS BIGINT) AS n, toks[1] AS first, toks[-1] AS last FROM w")
+def fts_tokens(spark, sf_dir):
+    t = fts.tokens(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.try_element_at("t", F.lit(1)).alias("first"), F.try_element_at("t", F.lit(-1)).alias("last"))
+
+
+def _bm25(words):
+    one = lambda k: f"(ln((s.n - s.d{k} + 0.5) / (s.d{k} + 0.5) + 1) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / s.mean)))"
+    n = range(len(words))
+    return f"""WITH {TOK}, c AS (SELECT doc_id, len(toks) AS dl, {", ".join(f"len([x for x in toks if x = '{w}']) AS f{k}" for k, w in enumerate(words))} FROM t),
+      s AS (SELECT count(*) AS n, avg(dl) AS mean, {", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS d{k}" for k in n)} FROM c)
+      SELECT doc_id, round({" + ".join(one(k) for k in n)}, 6) AS score FROM c, s WHERE {" AND ".join(f"f{k} > 0" for k in n)} ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query(_bm25(["the", "thing"]))
+def fts_bm25_topk(spark, sf_dir):
+    return search.bm25(docs(spark, sf_dir), "doc_id", ["text"], "the thing").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("SELECT doc_id, regexp_replace(left(text, 200), '(?i)\\b(of)\\b', '[\\1]', 'g') AS marked FROM documents WHERE lang = 'en' AND doc_id % 10 = 0 AND regexp_full_match(left(text, 200), '[\\x00-\\x7f]*')")
+def fts_highlight(spark, sf_dir):
+    """Excerpts with the query's word marked; a highlight of ASCII excerpts, for which the oracle has word bounds."""
+    rows = load(spark, sf_dir, "documents").filter("lang = 'en' AND doc_id % 10 = 0").select("doc_id", F.substring("text", 1, 200).alias("t")).filter(F.length("t") == F.octet_length("t"))
+    return rows.select("doc_id", fts.highlight(F.col("t"), fts.parse("of")).alias("marked"))
+
+
+@query(f"WITH {TOK}, p AS (SELECT doc_id, unnest(toks) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 50")
+def fts_postings(spark, sf_dir):
+    return search.postings(docs(spark, sf_dir), "doc_id", ["text"]).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).alias("n")).filter("docs >= 50")
+
+
+Q = [0.1 * ((k * 7) % 11 - 5) for k in range(64)]
+_Q = "[" + ", ".join(map(repr, Q)) + "]::DOUBLE[]"
+_V = "embedding::DOUBLE[]"
+
+
+def emb(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings")
+
+
+def _knn(dist, where=""):
+    return f"SELECT vec_id, round({dist}, 6) AS distance FROM embeddings {where} ORDER BY {dist}, vec_id LIMIT 10"
+
+
+def _near(spark, sf_dir, metric, where=None):
+    return search.knn(emb(spark, sf_dir), "vec_id", "embedding", Q, 10, metric, where).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(_knn(f"list_distance({_V}, {_Q})"))
+def knn_l2(spark, sf_dir):
+    return _near(spark, sf_dir, "l2")
+
+
+@query(_knn(f"list_cosine_distance({_V}, {_Q})"))
+def knn_cosine(spark, sf_dir):
+    return _near(spark, sf_dir, "cosine")
+
+
+@query(_knn(f"-list_inner_product({_V}, {_Q})"))
+def knn_dot(spark, sf_dir):
+    return _near(spark, sf_dir, "dot")
+
+
+@query(_knn(f"list_distance({_V}, {_Q})", "WHERE label = 3"))
+def knn_filtered(spark, sf_dir):
+    return _near(spark, sf_dir, "l2", F.col("label") == 3)
+
+
+@query(f"""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.{_V}, q.{_V}), 9), e.vec_id) AS INTEGER) AS rank
+ FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 5""")
+def knn_batch(spark, sf_dir):
+    """The queries are the first vectors, a bounded set."""
+    e = emb(spark, sf_dir)
+    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.knn_batch(e, "vec_id", "embedding", q, "query_id", 5, "l2").select("query_id", "vec_id", "rank")
+
+
+@query(f"SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, round(sqrt(list_inner_product({_V}, {_V})), 6) AS norm, round(list_inner_product({_V}, {_Q}), 6) AS dot, round(embedding[1]::DOUBLE + ({_Q})[1], 6) AS plus, round(embedding[2]::DOUBLE - ({_Q})[2], 6) AS minus, round(embedding[3]::DOUBLE / sqrt(list_inner_product({_V}, {_V})), 6) AS unit FROM embeddings")
+def vec_ops(spark, sf_dir):
+    v, q = F.col("embedding"), F.array(*map(F.lit, Q))
+    r = lambda c: F.round(c, 6)
+    return emb(spark, sf_dir).select("vec_id", vectors.dims(v).cast("long").alias("dims"), r(vectors.norm(v)).alias("norm"), r(vectors.dot(v, q)).alias("dot"), r(vectors.add(v, q)[0]).alias("plus"), r(vectors.sub(v, q)[1]).alias("minus"), r(vectors.normalize(v)[2]).alias("unit"))
+
+
+def points(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 3.5 - 1000).alias("y"))
+
+
+_P = "p AS (SELECT c_custkey, c_acctbal AS x, c_custkey * 3.5::DOUBLE - 1000 AS y FROM customer)"
+
+
+@query(f"WITH {_P} SELECT c_custkey, x, y FROM p WHERE x BETWEEN 0 AND 5000 AND y BETWEEN -500 AND 2000")
+def spatial_box(spark, sf_dir):
+    coded = points(spark, sf_dir).withColumn("code", spatial.morton(F.col("x"), F.col("y")))
+    return search.box(coded, ["x", "y"], [0.0, -500.0], [5000.0, 2000.0], "code").drop("code")
+
+
+@query(f"WITH {_P} SELECT c_custkey, round(sqrt((x - 3000) * (x - 3000) + (y - 500) * (y - 500)), 6) AS d FROM p WHERE sqrt((x - 3000) * (x - 3000) + (y - 500) * (y - 500)) <= 2000")
+def spatial_radius(spark, sf_dir):
+    a, b = [F.col("x"), F.col("y")], [F.lit(3000.0), F.lit(500.0)]
+    return points(spark, sf_dir).filter(spatial.within(a, b, 2000.0)).select("c_custkey", F.round(spatial.distance(a, b), 6).alias("d"))
+
+
+@query(f"WITH {_P} SELECT c_custkey, round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(x / 200 - 10) / 2), 2) + cos(radians(10)) * cos(radians(x / 200)) * pow(sin(radians(y / 100 - 20) / 2), 2)))), 3) AS metres FROM p")
+def spatial_sphere(spark, sf_dir):
+    return points(spark, sf_dir).select("c_custkey", F.round(spatial.sphere(F.lit(10.0), F.lit(20.0), F.col("x") / 200, F.col("y") / 100), 3).alias("metres"))
+
+
+@query(f"WITH {_P}, c AS (SELECT c_custkey, CAST(floor((x + 1000000) / 2000000 * 2147483647) AS BIGINT) AS a, CAST(floor((y + 1000000) / 2000000 * 2147483647) AS BIGINT) AS b FROM p) SELECT c_custkey, CAST(list_sum([((a >> i) & 1) * (1::BIGINT << (2 * i)) + ((b >> i) & 1) * (1::BIGINT << (2 * i + 1)) for i in range(31)]) AS BIGINT) AS code FROM c")
+def morton_code(spark, sf_dir):
+    return points(spark, sf_dir).select("c_custkey", spatial.morton(F.col("x"), F.col("y")).alias("code"))
