@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -281,8 +283,9 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, doc_id: str = "doc_id
         m = model(path)
         for whole in batches:
             for b in tokens.slices(whole, 256):
-                ids = pa.array(m.encode(b["text"].to_pylist()), pa.list_(pa.int32()))
-                n = b.num_rows
+                lists = m.encode(b["text"].to_pylist())
+                n, ends = b.num_rows, np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), ids], names=["doc_id", "row", "chunk", "chunks", "ids"])
 
     def cut(batches):
@@ -336,26 +339,34 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, doc_id: str = "doc_id
     return rows.filter(~is_long).mapInArrow(short, "doc_id long, row long, chunk int, chunks int, ids array<int>").unionByName(giant)
 
 
-def _crc_shift(crc: int, length: int) -> int:
-    """The CRC register after ``length`` zero bytes: powers of the shift matrix over GF(2)."""
-
-    def times(mat, vec):
-        out = 0
-        for row in mat:
-            if not vec:
-                break
-            out ^= row * (vec & 1)
-            vec >>= 1
-        return out
+def _times(matrix: tuple[int, ...], vector: int) -> int:
+    """A product over GF(2)."""
+    out = 0
+    for row in matrix:
+        if not vector:
+            break
+        out ^= row * (vector & 1)
+        vector >>= 1
+    return out
 
-    mat = [0xEDB88320, *(1 << i for i in range(31))]
-    for _ in range(3):
-        mat = [times(mat, r) for r in mat]
+
+@cache
+def _zeros(power: int) -> tuple[int, ...]:
+    """The matrix that takes a CRC register through 2**power zero bits."""
+    if power == 0:
+        return (0xEDB88320, *(1 << i for i in range(31)))
+    half = _zeros(power - 1)
+    return tuple(_times(half, r) for r in half)
+
+
+def _crc_shift(crc: int, length: int) -> int:
+    """The CRC register after ``length`` zero bytes."""
+    power = 3
     while length:
         if length & 1:
-            crc = times(mat, crc)
+            crc = _times(_zeros(power), crc)
         length >>= 1
-        mat = [times(mat, r) for r in mat]
+        power += 1
     return crc
 
 
@@ -383,10 +394,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         for whole in batches:
             for b in tokens.slices(whole):
                 out = []
-                for d, r, k, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    raw, text = tokens.little(ids), m.decode(ids, k == 0)
+                lists = b["ids"]
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4")
+                for d, r, k, n, at, end in zip(*(c.to_pylist() for c in b.columns[:4]), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    ids = flat[at:end]
+                    text = m.decode(ids.tolist(), k == 0)
                     back = text.encode()
-                    out.append((d, r, k, n, len(ids), zlib.crc32(raw), len(text), len(back), zlib.crc32(back)))
+                    out.append((d, r, k, n, len(ids), zlib.crc32(ids.tobytes()), len(text), len(back), zlib.crc32(back)))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
