@@ -64,7 +64,7 @@ def unicode(s: Column) -> Column:
 
 def char(*points: Column) -> Column:
     """String of code points, also above 255."""
-    one = lambda p: F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), F.lit("UTF-32"))
+    one = lambda p: F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), "UTF-32")
     return F.concat(*[one(p) for p in points])
 
 

@@ -25,13 +25,14 @@ def bm25(df: DataFrame, key: str, columns: list[str], query: str, local: bool =
     terms = sorted({t for g in parsed.groups for t in g}, key=str)
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
-    rows = df.select(key, fts.tokens(F.concat_ws(" ", *columns)).alias("_t"))
+    parts = sorted({(w, t.prefix) for t in terms for w in t.words})
 
-    def count(w: str, prefix: bool) -> Column:
-        return F.size(F.filter("_t", lambda x: x.startswith(w) if prefix else x == w))
+    def counts(tokens: Column) -> Column:
+        size = lambda w, prefix: F.size(F.filter(tokens, lambda x: x.startswith(w) if prefix else x == w))
+        return F.struct(F.size(tokens).alias("_n"), *[size(w, p).alias(f"_f{k}") for k, (w, p) in enumerate(parts)], fts.matches(tokens, parsed).alias("_hit"))
 
-    parts = sorted({(w, t.prefix) for t in terms for w in t.words})
-    counted = rows.select(key, F.size("_t").alias("_n"), *[count(w, p).alias(f"_f{k}") for k, (w, p) in enumerate(parts)], fts.matches(F.col("_t"), parsed).alias("_hit"))
+    # through a lambda's variable, so that a row's tokens are computed once
+    counted = df.select(key, F.get(F.transform(F.array(fts.tokens(F.concat_ws(" ", *columns))), counts), F.lit(0)).alias("_c")).select(key, "_c.*")
     stats = counted.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *[F.count(F.when(F.col(f"_f{k}") > 0, 1)).alias(f"_d{k}") for k in range(len(parts))])
     both = counted.filter("_hit").crossJoin(F.broadcast(stats))  # one row
     docs, mean = (F.lit(1), F.col("_n")) if local else (F.col("_docs"), F.col("_mean"))
