@@ -108,7 +108,7 @@ class Model:
         if y[0] == SPACE != x[-1]:
             return True
         if (x, y) not in self._agree:
-            if len(self._agree) > 1_000_000:
+            if len(self._agree) > 200_000:
                 self._agree.clear()
             self._agree[x, y] = self.merge(x + y) == [x, y]
         return self._agree[x, y]
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, doc_id: str = "doc_id
 
         m = model(path)
         for whole in batches:
-            for b in tokens.slices(whole, 256):
+            for b in tokens.slices(whole, 128):
                 lists = m.encode(b["text"].to_pylist())
                 n, ends = b.num_rows, np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
@@ -395,12 +395,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             for b in tokens.slices(whole):
                 out = []
                 lists = b["ids"]
-                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4")
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
                 for d, r, k, n, at, end in zip(*(c.to_pylist() for c in b.columns[:4]), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     ids = flat[at:end]
                     text = m.decode(ids.tolist(), k == 0)
                     back = text.encode()
-                    out.append((d, r, k, n, len(ids), zlib.crc32(ids.tobytes()), len(text), len(back), zlib.crc32(back)))
+                    out.append((d, r, k, n, len(ids), zlib.crc32(ids.astype("<i4").tobytes()), len(text), len(back), zlib.crc32(back)))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
