@@ -153,3 +153,9 @@ def recursive_hierarchy(spark, sf_dir):
     h = load(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "CAST(n_nationkey div 3 AS INT) AS boss")
     h.createOrReplaceTempView("h")
     return spark.sql("WITH RECURSIVE r(id, depth) AS (SELECT id, 0L FROM h WHERE id = 1 UNION ALL SELECT h.id, depth + 1 FROM h JOIN r ON h.boss = r.id AND h.id <> r.id) SELECT id, depth FROM r")
+
+
+by_sql("json_each_rows", "SELECT event_id, key, CAST(value AS BIGINT) AS value FROM (SELECT event_id, explode(from_json(props, 'map<string,string>')) AS (key, value) FROM events)",
+       "SELECT event_id, k AS key, CAST(json_extract_string(props, '$.' || k) AS BIGINT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+by_sql("point_and_multi_get", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 7, 32, 99, 1200) OR o_orderkey = 5")
+by_sql("range_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 400")

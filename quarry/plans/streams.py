@@ -37,3 +37,10 @@ def stream_session(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     return events.collect(_events(spark, sf_dir).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "append")
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_type = 'click' GROUP BY user_id")
+def stream_update_aggregate(spark, sf_dir):
+    """A running aggregate without windows, as an automatically refreshed view keeps it."""
+    rows = _events(spark, sf_dir).filter("event_type = 'click'")
+    return events.collect(rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")))

@@ -82,6 +82,7 @@ class Table:
         self.path = f"{self.root}/{name}"
         self.files = Files(spark, self.path)
         self.constraints = constraints or Constraints()
+        self.after: list = []  # what runs after a commit, with its kind and changed rows
 
     def versions(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.files.names(f"{self.path}/_log") if n.endswith(".json"))
@@ -113,6 +114,12 @@ class Table:
             changes.write.parquet(f"{self.path}/{feed}")
         if not self.files.create(f"{self.path}/_log/{base + 1:09d}.json", json.dumps({"folder": folder, "changes": feed})):
             raise Conflict(self.name)
+        if feed and self.after:
+            rows = self.spark.read.parquet(f"{self.path}/{feed}")
+            kind = rows.select("_kind").first()
+            for action in self.after:
+                if kind:
+                    action(kind["_kind"], rows.drop("_kind"))
         return base + 1
 
     def insert(self, rows: DataFrame, conflict: str = "error", update: dict[str, Column] | None = None, parents: dict[str, Table] | None = None) -> DataFrame:
@@ -238,11 +245,13 @@ def violations(df: DataFrame, c: Constraints, parents: dict[str, Table]) -> dict
 
 
 class MaterializedView:
-    """The rows of a query, stored; ``refresh`` recomputes them."""
+    """The rows of a query, stored; ``refresh`` recomputes them, and so does a commit of a table in ``sources`` (auto refresh)."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, query):
+    def __init__(self, spark: SparkSession, root: str, name: str, query, sources: tuple[Table, ...] = ()):
         self.table, self.query = Table(spark, root, name), query
         self.table.create(query())
+        for t in sources:
+            t.after.append(lambda kind, rows: self.refresh())
 
     def read(self) -> DataFrame:
         return self.table.read()

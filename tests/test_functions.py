@@ -9,7 +9,7 @@ from quarry.functions import dates, documents, fts, numbers, spatial, text, vect
 from quarry.operators import recursive, search
 from quarry.sources import copy
 from quarry.storage import tables
-from quarry.streaming import events
+from quarry.streaming import changes, events
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +135,24 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     got = events.collect(events.tumbling(spark.readStream.schema("ts timestamp, k string").parquet(str(tmp_path / "e")), "ts", "10 minutes", ["k"], F.count("k").alias("n")))
     want = spark.read.parquet(str(tmp_path / "e")).groupBy(F.window("ts", "10 minutes"), "k").count()
     assert sorted((r.window_start, r.k, r.n) for r in got.collect()) == sorted((r.window.start, r.k, r["count"]) for r in want.collect())
+
+
+def test_change_feeds(spark, tmp_path):
+    root = str(tmp_path)
+    one = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    t = tables.Table(spark, root, "t", tables.Constraints(key=("k",))).create(one((1, "a"), (2, "b")))
+    log = []
+    changes.on_commit(t, lambda kind, rows: log.append((kind, rows.count())))
+    view = tables.MaterializedView(spark, root, "n", lambda: t.read().groupBy().count(), (t,))
+    copy_ = tables.Table(spark, root, "copy", t.constraints).create(t.read(0).limit(0))
+    changes.replicate(t, copy_, f"{root}/_cp")
+    t.insert(one((3, "c")))
+    t.update("k = 1", {"v": F.lit("z")})
+    t.delete("k = 2")
+    assert view.read().first()[0] == 2 and log == [("insert", 1), ("update", 1), ("delete", 1)]
+    changes.replicate(t, copy_, f"{root}/_cp")
+    assert sorted(map(tuple, copy_.read().collect())) == sorted(map(tuple, t.read().collect())) == [(1, "z"), (3, "c")]
+    ch = changes.Channel(spark, root, "news")
+    ch.notify("x", "y")
+    ch.notify("z")
+    assert [r.payload for r in ch.since(0).collect()] == ["z"] and ch.since().count() == 3
