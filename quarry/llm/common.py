@@ -28,9 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; ``cleanup`` removes it."""
+    _made.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes what this driver's operators wrote to the shared folder, once their results are no longer read."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from quarry.llm import avi, language, lines, neighbours, packing, repetition, seekable, sentence, simhash, warc
+from quarry.llm import avi, common, language, lines, neighbours, packing, repetition, seekable, sentence, simhash, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SMALL = "/root/testdata/sf0.001"
@@ -399,3 +399,17 @@ def test_warc_orphans_are_kept(spark):
     recs = spark.createDataFrame([("a", "request", "gone"), ("b", "metadata", "gone"), ("c", "response", None)], "record_id string, kind string, concurrent_to string")
     got = {r.capture_id: r for r in warc.assemble(recs).collect()}
     assert got["gone"].main is None and len(got["gone"].requests) == 1 and got["c"].main.record_id == "c"
+
+
+def test_cleanup_removes_what_was_written(spark, empty):
+    import os
+
+    before = set(common._made)
+    df = common.materialize(empty, "some")
+    path = common._made[-1]
+    assert path not in before and df.count() == 0
+    assert os.path.isdir(path)
+    saved, common._made[:] = common._made[:-1], [path]
+    common.cleanup(spark)
+    common._made.extend(saved)
+    assert not os.path.exists(path)
