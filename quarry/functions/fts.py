@@ -40,10 +40,21 @@ def _stem(w: Column) -> Column:
     return F.when(n <= 3, w).otherwise(out.otherwise(w))
 
 
+def unstemmed(text: Column) -> Column:
+    folded = F.translate(F.lower(text), "".join(ACCENTS), "".join(ACCENTS.values()))
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """Array of a text's tokens, in Catalyst alone."""
-    folded = F.translate(F.lower(text), "".join(ACCENTS), "".join(ACCENTS.values()))
-    return F.transform(F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != ""), _stem)
+    return F.transform(unstemmed(text), _stem)
+
+
+def count(words_: Column, word: str, prefix: bool) -> Column:
+    """How many unstemmed words have this token (or, by ``prefix``, one that starts so); only words that can are stemmed."""
+    start = word[:-3] if prefix or word.endswith("cao") else word[:-2] if word.endswith("ao") else word[:-1] if word.endswith("y") else word
+    near = F.transform(F.filter(words_, lambda w: w.startswith(start)), _stem)
+    return F.size(F.filter(near, lambda w: w.startswith(word) if prefix else w == word))
 
 
 def tokens_json(text: Column) -> Column:

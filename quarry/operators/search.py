@@ -15,6 +15,12 @@ def match(df: DataFrame, columns: list[str], query: str) -> DataFrame:
     return df.filter(fts.matches(fts.tokens(F.concat_ws(" ", *columns)), fts.parse(query)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few large files leave cores idle in work that is all computation: their rows are dealt out; otherwise nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bm25(df: DataFrame, key: str, columns: list[str], query: str, local: bool = False) -> DataFrame:
     """``key, score`` of the rows that match, with the corpus' statistics (``local``: each row as a corpus of its own).
 
@@ -26,13 +32,28 @@ def bm25(df: DataFrame, key: str, columns: list[str], query: str, local: bool =
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
     parts = sorted({(w, t.prefix) for t in terms for w in t.words})
-
-    def counts(tokens: Column) -> Column:
-        size = lambda w, prefix: F.size(F.filter(tokens, lambda x: x.startswith(w) if prefix else x == w))
-        return F.struct(F.size(tokens).alias("_n"), *[size(w, p).alias(f"_f{k}") for k, (w, p) in enumerate(parts)], fts.matches(tokens, parsed).alias("_hit"))
-
-    # through a lambda's variable, so that a row's tokens are computed once
-    counted = df.select(key, F.get(F.transform(F.array(fts.tokens(F.concat_ws(" ", *columns))), counts), F.lit(0)).alias("_c")).select(key, "_c.*")
+    simple = all(len(t.words) == 1 for t in {*terms, *parsed.without})
+
+    def hit(words: Column) -> Column:
+        """From counts where no term is a phrase."""
+        if not simple:
+            return fts.matches(F.transform(words, fts._stem), parsed)
+        some = lambda t: fts.count(words, t.words[0], t.prefix) > 0
+        out = F.lit(True)
+        for g in parsed.groups:
+            one = F.lit(False)
+            for t in g:
+                one = one | some(t)
+            out = out & one
+        for t in parsed.without:
+            out = out & ~some(t)
+        return out
+
+    def counts(words: Column) -> Column:
+        return F.struct(F.size(words).alias("_n"), *[fts.count(words, w, p).alias(f"_f{k}") for k, (w, p) in enumerate(parts)], hit(words).alias("_hit"))
+
+    # through a lambda's variable, so that a row's words are computed once
+    counted = spread(df.select(key, *columns)).select(key, F.get(F.transform(F.array(fts.unstemmed(F.concat_ws(" ", *columns))), counts), F.lit(0)).alias("_c")).select(key, "_c.*")
     stats = counted.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *[F.count(F.when(F.col(f"_f{k}") > 0, 1)).alias(f"_d{k}") for k in range(len(parts))])
     both = counted.filter("_hit").crossJoin(F.broadcast(stats))  # one row
     docs, mean = (F.lit(1), F.col("_n")) if local else (F.col("_docs"), F.col("_mean"))

@@ -73,6 +73,16 @@ def test_search(spark, value):
     assert got[1] == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 2.25))) and set(got) == {1, 3}
 
 
+def test_counts_agree_with_tokens(spark):
+    text = "correções correção coes party parties paes pao es e the thes thing things playing play plays aes ao y ies caes cao " * 2
+    df = spark.createDataFrame([(text,)], "t string")
+    own = fts.words(text)
+    for w in sorted(set(own)) + ["zz"]:
+        for prefix in (False, True):
+            want = sum(x.startswith(w) if prefix else x == w for x in own)
+            assert df.select(fts.count(fts.unstemmed(F.col("t")), w, prefix)).first()[0] == want, (w, prefix)
+
+
 def test_vectors_and_space(spark, value):
     a, z = F.array(L(3.0), L(4.0)), F.array(L(0.0), L(0.0))
     assert value(vectors.norm(a)) == 5.0 and value(vectors.cosine(a, z)) == 1.0 and value(vectors.l2(a, F.array(L(1.0)))) is None and value(vectors.parse(L("[1, 2.5]"))) == [1.0, 2.5]
