@@ -59,9 +59,8 @@ def fts_bm25_topk(spark, sf_dir):
 
 @query("SELECT doc_id, regexp_replace(left(text, 200), '(?i)\\b(of)\\b', '[\\1]', 'g') AS marked FROM documents WHERE lang = 'en' AND doc_id % 10 = 0 AND regexp_full_match(left(text, 200), '[\\x00-\\x7f]*')")
 def fts_highlight(spark, sf_dir):
-    """Excerpts with the query's word marked; a highlight of ASCII excerpts, for which the oracle has word bounds."""
-    rows = load(spark, sf_dir, "documents").filter("lang = 'en' AND doc_id % 10 = 0").select("doc_id", F.substring("text", 1, 200).alias("t")).filter(F.length("t") == F.octet_length("t"))
-    return rows.select("doc_id", fts.highlight(F.col("t"), fts.parse("of")).alias("marked"))
+    """Whole texts of all documents with the query's word marked."""
+    return search.spread(docs(spark, sf_dir)).select("doc_id", fts.highlight(F.col("text"), fts.parse("of")).alias("marked"))
 
 
 @query(f"WITH {TOK}, p AS (SELECT doc_id, unnest(toks) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 50")
