@@ -133,7 +133,7 @@ def quantified_any(spark, sf_dir):
 
 # recursion, series, rows from arrays
 by_sql("generate_series", "SELECT id AS g FROM range(3, 1001, 7)", "SELECT generate_series AS g FROM generate_series(3, 1000, 7)")
-by_sql("unnest_ordinality", "SELECT doc_id, word, CAST(pos + 1 AS BIGINT) AS ordinality FROM (SELECT doc_id, posexplode(slice(split(text, ' '), 1, 5)) AS (pos, word) FROM documents)",
+by_sql("unnest_ordinality", "SELECT doc_id, word, CAST(pos + 1 AS BIGINT) AS ordinality FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, word) FROM documents)",
        "SELECT doc_id, unnest(str_split(text, ' ')[1:5]) AS word, CAST(generate_subscripts(str_split(text, ' ')[1:5], 1) AS BIGINT) AS ordinality FROM documents")
 by_sql("recursive_series", "WITH RECURSIVE s(n) AS (SELECT 1L UNION ALL SELECT n + 3 FROM s WHERE n < 200) SELECT n FROM s", "WITH RECURSIVE s(n) AS (SELECT 1::BIGINT UNION ALL SELECT n + 3 FROM s WHERE n < 200) SELECT n FROM s")
 EDGES = "SELECT DISTINCT o_custkey % 40 AS src, o_orderkey % 40 AS dst FROM orders WHERE o_orderkey % 11 = 0"

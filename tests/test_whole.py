@@ -2,12 +2,21 @@
 
 import re
 
+import duckdb
+
 from quarry import plans
 from quarry.functions import fts
 
 SF = "/root/testdata/sf0.001"
 
 
+def sql(text):
+    c = duckdb.connect()
+    for t in plans.base.TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c.sql(text).fetchall()
+
+
 def marked(text):
     return None if text is None else re.sub(r"[^\W_]+", lambda m: f"[{m[0]}]" if fts.words(m[0]) == ["of"] else m[0], text)
 
@@ -21,3 +30,9 @@ def test_highlight_marks_whole_texts_of_all_documents(spark, tmp_path):
     assert got[0].endswith("[of]") and got[1] == "é [of] [OF]"
     real = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     assert dict(plans.QUERIES["fts_highlight"](spark, SF).collect()) == {k: marked(t) for k, t in real.items()}
+
+
+def test_unnest_gives_all_words(spark):
+    got = [tuple(r) for r in plans.QUERIES["unnest_ordinality"](spark, SF).select("doc_id", "word", "ordinality").collect()]
+    want = sql("SELECT doc_id, unnest(str_split(text, ' ')), CAST(generate_subscripts(str_split(text, ' '), 1) AS BIGINT) FROM documents")
+    assert sorted(got) == sorted(want) and max(r[2] for r in got) > 5
