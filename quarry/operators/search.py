@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fts, spatial, vectors
+from . import recursive
 
 K1, B = 1.2, 0.75
 
@@ -81,43 +84,87 @@ def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric
 def knn_batch(df: DataFrame, key: str, vector: str, queries: DataFrame, qkey: str, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
     """``qkey, key, distance, rank`` of the k nearest rows of each query, exactly.
 
-    Each task keeps the k nearest of its rows for every query (blocked matrix products); only those meet.  The queries
-    are checked to be at most ``block * 64``; more are to be given in parts.
+    Each task keeps the k nearest of its rows for every query (blocked matrix products); only those meet.  The driver
+    holds ``block * 64`` queries at a time; of more, each such block is a pass over the rows and is checkpointed.
+    """
+    rows = queries.select(F.col(qkey).alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL").toLocalIterator()
+    w = Window.partitionBy(qkey).orderBy("distance", key)
+    out, part = None, list(islice(rows, block * 64))
+    while True:
+        following = list(islice(rows, block * 64))
+        top = _knn_pass(df, key, vector, part, queries.schema[qkey].dataType.simpleString(), qkey, k, metric, block)
+        top = top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if out is None and not following:
+            return top
+        top = recursive.checkpoint(top)
+        out = top if out is None else out.unionByName(top)
+        if not following:
+            return out
+        part = following
+
+
+def _knn_pass(df: DataFrame, key: str, vector: str, queries: list, qkind: str, qkey: str, k: int, metric: str, block: int) -> DataFrame:
+    """Each task's k nearest rows of every query.
+
+    Products only choose candidates, with some slack; their distances are computed from the vectors themselves, so that
+    equal vectors tie.
     """
     import numpy as np
 
-    got = queries.select(F.col(qkey).alias("q"), F.col(vector).alias("v")).limit(block * 64 + 1).toArrow()
-    if got.num_rows > block * 64:
-        raise ValueError("too many queries for one pass")
-    ids, q = got["q"].to_pylist(), np.array(got["v"].to_pylist(), np.float64)
-    kind, qkind = df.schema[key].dataType.simpleString(), queries.schema[qkey].dataType.simpleString()
+    ids, q = [r.q for r in queries], np.array([r.v for r in queries], np.float64)
+    kind = df.schema[key].dataType.simpleString()
+
+    def rough(a, x):
+        if metric == "dot":
+            return -(a @ x.T)
+        if metric == "l2":
+            return (a * a).sum(1)[:, None] + (x * x).sum(1) - 2 * a @ x.T
+        n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        return np.where(n == 0, 1.0, 1 - (a @ x.T) / np.where(n == 0, 1, n))
 
-    def near(x):
+    def exact(a, x):
         if metric == "dot":
-            return -(q @ x.T)
+            return -(a * x).sum(1)
         if metric == "l2":
-            return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T, 0))
-        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
-        return np.where(n == 0, 1.0, 1 - (q @ x.T) / np.where(n == 0, 1, n))
+            return np.sqrt(((a - x) ** 2).sum(1))
+        n = np.linalg.norm(a, axis=1) * np.linalg.norm(x, axis=1)
+        return np.where(n == 0, 1.0, 1 - (a * x).sum(1) / np.where(n == 0, 1, n))
 
     def run(batches):
         import pandas as pd
 
-        best = {i: [] for i in range(len(ids))}
+        step = 1024
+        best = [None] * -(-len(q) // step)  # for each step of queries: query, distance, key of its nearest so far
+        bound = np.full(len(q), np.inf)
         for pdf in batches:
             for at in range(0, len(pdf), block):
                 part = pdf.iloc[at : at + block].dropna()
                 if not len(part):
                     continue
-                keys, d = part[key].tolist(), near(np.stack(part[vector].to_list()).astype(np.float64))
-                for i in range(len(ids)):
-                    mine = best[i] + list(zip(np.round(d[i], 9).tolist(), keys, strict=True))
-                    best[i] = sorted(mine)[:k]
-        yield pd.DataFrame([(ids[i], x, dist) for i, rows in best.items() for dist, x in rows], columns=[qkey, key, "distance"])
-
-    top = df.select(key, vector).mapInPandas(run, f"`{qkey}` {qkind}, `{key}` {kind}, distance double")
-    w = Window.partitionBy(qkey).orderBy("distance", key)
-    return top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                keys, x = part[key].to_numpy(), np.stack(part[vector].to_list()).astype(np.float64)
+                for j in range(len(best)):
+                    a = q[j * step : (j + 1) * step]
+                    limit = bound[j * step : (j + 1) * step]
+                    d = rough(a, x)
+                    if len(keys) >= k:
+                        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    slack = 1e-8 * (1 + (a * a).sum(1).max() + (x * x).sum(1).max())
+                    i, m = np.nonzero(d <= limit[:, None] + slack)
+                    new = [i, np.concatenate([np.round(exact(a[i[s : s + 65536]], x[m[s : s + 65536]]), 9) for s in range(0, len(i), 65536)] or [np.zeros(0)]), keys[m]]
+                    if best[j] is not None:
+                        new = [np.concatenate(c) for c in zip(best[j], new, strict=True)]
+                    s = np.lexsort((new[2], new[1], new[0]))
+                    new = [c[s] for c in new]
+                    place = np.arange(len(s)) - np.searchsorted(new[0], new[0])
+                    best[j] = [c[place < k] for c in new]
+                    last = (place == k - 1).nonzero()[0]
+                    far = new[1][last] ** 2 if metric == "l2" else new[1][last]
+                    bound[j * step + new[0][last]] = far
+        for j, b in enumerate(best):
+            if b is not None:
+                yield pd.DataFrame({qkey: [ids[j * step + i] for i in b[0]], key: b[2], "distance": b[1]})
+
+    return df.select(key, vector).mapInPandas(run, f"`{qkey}` {qkind}, `{key}` {kind}, distance double")
 
 
 def box(df: DataFrame, axes: list[str], low: list[float], high: list[float], code: str | None = None) -> DataFrame:

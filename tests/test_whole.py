@@ -3,9 +3,12 @@
 import re
 
 import duckdb
+import numpy as np
+import pytest
 
 from quarry import plans
 from quarry.functions import fts
+from quarry.operators import search
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +39,28 @@ def test_unnest_gives_all_words(spark):
     got = [tuple(r) for r in plans.QUERIES["unnest_ordinality"](spark, SF).select("doc_id", "word", "ordinality").collect()]
     want = sql("SELECT doc_id, unnest(str_split(text, ' ')), CAST(generate_subscripts(str_split(text, ' '), 1) AS BIGINT) FROM documents")
     assert sorted(got) == sorted(want) and max(r[2] for r in got) > 5
+
+
+def test_batch_search_takes_every_twentieth_row(spark):
+    got = [tuple(r) for r in plans.QUERIES["knn_batch"](spark, SF).select("query_id", "vec_id", "rank").collect()]
+    want = sql("""SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), e.vec_id) AS INTEGER) AS rank
+      FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
+    assert sorted(got) == sorted(want) and {r[0] for r in got} == set(range(0, 500, 20))
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_batch_search_goes_on_over_blocks_of_queries(spark, metric):
+    rnd = np.random.default_rng(3)
+    vectors = [*rnd.normal(size=(120, 4)).tolist(), *[[1.0, 0.1, 2.0, 0.3]] * 30, [0.0] * 4]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    got = search.knn_batch(df, "id", "v", df.withColumnRenamed("id", "q"), "q", 4, metric, block=1)  # 64 queries a pass
+    x = np.array(vectors)
+
+    def far(a, b):
+        if metric == "l2":
+            return round(float(np.sqrt(((a - b) ** 2).sum())), 9)
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(-float((a * b).sum()) if metric == "dot" else 1.0 if n == 0 else float(1 - (a * b).sum() / n), 9)
+
+    want = {(i, j, r + 1) for i, a in enumerate(x) for r, (_, j) in enumerate(sorted((far(a, b) + 0.0, j) for j, b in enumerate(x))[:4])}
+    assert {(r.q, r.id, r["rank"]) for r in got.collect()} == want
