@@ -3,7 +3,8 @@
 Both vocabularies cut a text into words before they merge, and never merge across them.  So a text's ids are the
 concatenation of its words' ids, and a worker needs to run the library's model on a word once.  Texts of Latin-1
 characters are cut here into the same words as the library does; others are cut at spaces only, and the library encodes
-those parts.  ``tests/llm`` hold both against the library's ids for whole texts.
+those parts.  The strings of added tokens in a text are one id each, as the library's defaults have it; the text between
+them is encoded by itself.  ``tests/llm`` hold all of it against the library's ids for whole texts.
 """
 
 from __future__ import annotations
@@ -66,7 +67,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens are to be found as they stand")
+        self.added = {t.content: little([i]) for i, t in added.items()}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         self.words, self.parts, self.first = CUTS[path.rsplit("/", 1)[-1]]
         model = self.tokenizer.model.tokenize
         self.word_ids = Memo(lambda w: little([t.id for t in model(w.encode().decode("latin-1").translate(SIGNS))]), limit).__getitem__
@@ -76,14 +81,21 @@ class WordEncoder:
         """For each text its ids' bytes."""
         out = []
         for text in texts:
-            try:
-                text.isascii() or text.encode("latin-1")
-            except UnicodeEncodeError:
-                out.append(b"".join(map(self.part_ids, self.parts.findall(text))))
-            else:
-                out.append(b"".join(map(self.word_ids, self.words.findall(self.first(text)))))
+            at, found = 0, []
+            for m in self.marks.finditer(text):
+                found += self._plain(text[at : m.start()]), self.added[m[0]]
+                at = m.end()
+            out.append(b"".join([*found, self._plain(text[at:])]) if found else self._plain(text))
         return out
 
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.part_ids, self.parts.findall(text)))
+        return b"".join(map(self.word_ids, self.words.findall(self.first(text))))
+
 
 _encoders: dict[str, WordEncoder] = {}
 
