@@ -64,3 +64,27 @@ def test_batch_search_goes_on_over_blocks_of_queries(spark, metric):
 
     want = {(i, j, r + 1) for i, a in enumerate(x) for r, (_, j) in enumerate(sorted((far(a, b) + 0.0, j) for j, b in enumerate(x))[:4])}
     assert {(r.q, r.id, r["rank"]) for r in got.collect()} == want
+
+
+A, B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
+SETS = {"union_distinct": "UNION", "union_all": "UNION ALL", "intersect_distinct": "INTERSECT", "intersect_all": "INTERSECT ALL", "except_distinct": "EXCEPT", "except_all": "EXCEPT ALL"}
+WHOLE = {name: f"({A}) {op} ({B})" for name, op in SETS.items()} | {
+    "setop_left_assoc": f"(({A}) UNION ({B})) INTERSECT (SELECT r_regionkey AS k FROM region)",
+    "join_right": "SELECT o_orderkey, s_name, r_name FROM supplier RIGHT JOIN orders ON o_custkey = s_suppkey LEFT JOIN region ON r_regionkey = o_orderkey % 7",
+    "join_full": "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey",
+    "join_using": "SELECT c_custkey AS k, c_name AS v, s_name AS w FROM customer FULL JOIN supplier ON c_custkey = s_suppkey",
+    "quantified_any": "SELECT s_suppkey, s_acctbal < ANY (SELECT nullif(c_acctbal, 0) FROM customer WHERE c_nationkey = s_nationkey) AS hit FROM supplier",
+    "recursive_reachability": "WITH RECURSIVE r(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT o_orderkey FROM r JOIN orders ON o_custkey = r.node) SELECT node FROM r",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_tables(spark, name):
+    got = [tuple(r) for r in plans.QUERIES[name](spark, SF).collect()]
+    assert sorted(got, key=repr) == sorted(sql(WHOLE[name]), key=repr)
+
+
+def test_reachability_takes_every_order_and_no_folding(spark, tmp_path):
+    edges = [(1, 50), (50, 977), (977, 1), (3, 11), (977, 22)]
+    spark.createDataFrame(edges, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.node for r in plans.QUERIES["recursive_reachability"](spark, str(tmp_path)).collect()) == [1, 22, 50, 977]
