@@ -128,7 +128,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows that repeat both stay once.
     """
-    groups = near_dedup(docs, doc_id, text, **how)
+    return firsts(docs, near_dedup(docs, doc_id, text, **how), doc_id, text)
+
+
+def firsts(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``representatives`` of groups that are given as ``doc_id, row, root``."""
     copies = groups.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
     best = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("best")).select("best.doc_id", "best.row", "best.n")
     best = common.materialize(best, "best").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "n")
