@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = os.path.join(tempfile.gettempdir(), "quarry-shared")
         os.makedirs(base, exist_ok=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -59,6 +63,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with over 1/HOT of the rows is hot, so there are at most HOT of them; its rows are dealt to SALTS tasks.
+HOT, SALTS = 1000, 64
+
+
+def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[str], total: int | None = None, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``keys`` with ``one``, which has one row (or few) per key and in ``n`` how many of ``rows`` share it.
+
+    The keys that hold over a thousandth of the rows are at most a thousand, whatever the data, and are broadcast to mark
+    their rows; those rows are dealt by a hash of ``spread`` to several tasks, each with a copy of the key's one row.  Rows
+    with a null key, which match nothing, are dealt likewise.
+    ``total``: the sum of ``n``, counted here if not given (``one`` should then be a written table).
+    """
+    if total is None:
+        total = one.agg(F.sum(n)).first()[0] or 0
+    mark, salt = fresh("_hot", rows, one), fresh("_salt", rows, one)
+    hot = F.col(n) * HOT > total
+    marked = rows.join(F.broadcast(one.filter(hot).select(*keys).distinct().withColumn(mark, F.lit(True))), keys, "left")
+    place, no_key = F.xxhash64(*spread), reduce(or_, (F.col(k).isNull() for k in keys))
+    marked = marked.withColumn(salt, F.when(no_key, place).when(F.col(mark), F.pmod(place, F.lit(SALTS))).otherwise(0).cast("long")).drop(mark)
+    copies = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return marked.join(one.withColumn(salt, F.explode(copies)), [*keys, salt], how).drop(salt)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does the same where all characters are ASCII, and faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

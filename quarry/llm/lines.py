@@ -3,7 +3,8 @@
 Lines become (128-bit hash of the key, document, position).  They are dealt by ranges of (hash, document) and sorted by
 document and position within; a key that many documents share thus covers several ranges instead of one task.  A stream
 over that order marks each document's first occurrence, partial aggregates count a key's documents and find its first
-line, and only keys that are common enough are joined back.  The result is a bitmap per document; texts don't move.
+line, and only keys that are common enough are joined back, the hottest of them dealt to many tasks.  The result is a
+bitmap per document, found without moving a text; :func:`apply_bitmaps` then joins texts and bitmaps once.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     dealt = lines.repartitionByRange("h1", "h2", "doc", "row").sortWithinPartitions("h1", "h2", "doc", "row", "pos")
     ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2", "doc", "row").orderBy("pos")))
     stored = common.materialize(ranked, "lines")
-    once = stored.filter("nth = 1")
-    found = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "row", "pos")).alias("first"))
-    common_keys = common.materialize(found.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "first"), "keys")
-    hits = stored.join(common_keys, ["h1", "h2"])
+    first = [F.min(F.struct("doc", "row", "pos")).alias("first")] if keep == "first" else []
+    found = stored.groupBy("h1", "h2").agg(F.count_if(F.col("nth") == 1).alias("n_docs"), F.count(F.lit(1)).alias("n"), *first)
+    common_keys = common.materialize(found.filter(F.col("n_docs") >= min_docs).drop("n_docs"), "keys")
+    hits = common.join_counted(stored, common_keys, ["h1", "h2"], ["doc", "row", "pos"])
     if keep == "first":
         hits = hits.filter(~F.struct("doc", "row", "pos").eqNullSafe(F.col("first")))
     words = hits.groupBy("doc", "row", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
@@ -55,19 +56,24 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_kept`` (the kept lines joined by line ends), ``_lines`` and ``_dropped``; its other columns stay."""
+    """``docs`` with ``_kept`` (the kept lines joined by line ends), ``_lines`` and ``_dropped``, which replace columns of those names.
+
+    All other columns stay, whatever their names.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    mine = docs.withColumns({"_row_a": F.xxhash64(body), "_row_b": F.xxhash64(F.lit(1), body)})
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("row.a").alias("_a"), F.col("row.b").alias("_b"), F.col("n_dropped").alias("_dropped"), F.col("bitmap").alias("_map"))
-    both = mine.join(maps, (mine._row_a == maps._a) & (mine._row_b == maps._b) & mine[doc_id].cast("long").eqNullSafe(maps._doc), "left")
+    names = {k: common.fresh(f"_{k}", docs) for k in ("hash_a", "hash_b", "map", "dense", "drops")}
+    own = docs.drop("_kept", "_lines", "_dropped").withColumns({names["hash_a"]: F.xxhash64(body), names["hash_b"]: F.xxhash64(F.lit(1), body)})
+    maps = bitmaps.select(F.col("doc").alias("d"), F.col("row.a").alias("a"), F.col("row.b").alias("b"), F.col("n_dropped").alias("drops"), F.col("bitmap").alias("map")).select(F.struct("*").alias(names["map"]))
+    of = lambda field: F.col(names["map"])[field]
+    both = own.join(maps, (F.col(names["hash_a"]) == of("a")) & (F.col(names["hash_b"]) == of("b")) & F.col(doc_id).cast("long").eqNullSafe(of("d")), "left")
     parts = F.split(body, "\n")
-    sparse = F.map_from_entries("_map")
+    sparse = F.map_from_entries(of("map"))
     dense = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 64).cast("int")), lambda w: F.coalesce(F.try_element_at(sparse, w), F.lit(-1).cast("long")))
-    both = both.withColumn("_dense", F.when(F.col("_map").isNotNull(), dense)).withColumn("_lines", F.size(parts).cast("long"))
+    both = both.withColumn(names["dense"], F.when(F.col(names["map"]).isNotNull(), dense)).withColumn("_lines", F.size(parts).cast("long"))
     # written as SQL: the shift by a column has no Python function
-    kept = F.expr(f"array_join(filter(split(coalesce(`{text}`, ''), '\\n'), (x, i) -> (shiftrightunsigned(_dense[i div 64], i % 64) & 1) = 1), '\\n')")
-    out = both.withColumn("_kept", F.when(F.col("_map").isNull(), body).otherwise(kept)).withColumn("_dropped", F.coalesce("_dropped", F.lit(0).cast("long")))
-    return out.drop("_row_a", "_row_b", "_doc", "_a", "_b", "_map", "_dense")
+    kept = F.expr(f"array_join(filter(split(coalesce(`{text}`, ''), '\\n'), (x, i) -> (shiftrightunsigned(`{names['dense']}`[i div 64], i % 64) & 1) = 1), '\\n')")
+    out = both.withColumn("_kept", F.when(F.col(names["map"]).isNull(), body).otherwise(kept)).withColumn("_dropped", F.coalesce(of("drops"), F.lit(0).cast("long")))
+    return out.drop(*names.values())
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
