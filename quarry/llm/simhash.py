@@ -2,13 +2,19 @@
 
 Fingerprints within ``MAX_BITS`` differing bits are linked; components of links are near-duplicate groups.
 
-Candidates share one of ``MAX_BITS + 1`` blocks of the fingerprint (two fingerprints that differ in two bits agree in one
-of three blocks).  Every distinct fingerprint carries its Hamming distances to a table of pivots; by the triangle
-inequality a pair whose distances to any pivot differ by more than ``MAX_BITS`` is no link and is discarded before the
-survivors are verified.  A block value with more than ``BUCKET`` fingerprints would make a quadratic number of
-candidates; its fingerprints instead join through the fingerprints one bit away: two fingerprints differ in at most two
-bits exactly if some fingerprint differs from each in at most one.  At most 65 fingerprints meet in such a group,
-whatever the data, and nothing is dropped or capped.
+A written table holds every distinct fingerprint's Hamming distances to reference fingerprints, the pivots.  Two
+fingerprints that differ in r bits have distances to any pivot that differ by at most r.  The pivots are one random
+fingerprint, its copies with one nibble inverted, and further random ones.  The distances to the first and to its copy with
+nibble j inverted give how many bits of that nibble differ from the first, a coordinate from 0 to 4; and since a nibble is
+a part of its own, the coordinates of fingerprints within two bits differ by two in sum.  So such a pair shares a cell, a
+vector of all sixteen coordinates that is at most one step from either's.  Each fingerprint is put into its own cell and
+the at most 32 around it; in each cell pairs whose distances to a further pivot differ by more than ``MAX_BITS`` are
+discarded, and the others are verified.
+
+Sixteen coordinates split random fingerprints into some 10^9 cells' worth, but many near copies can share a cell.  A
+cell of over ``CELL`` fingerprints is split by the remaining pivots, the first one's copies with a single bit inverted:
+these distances tell every bit, so a cell of that level holds at most 65 fingerprints, all within two bits of each other,
+and a link from each to the least is enough.  Nothing is dropped or capped at either level.
 """
 
 from __future__ import annotations
@@ -21,11 +27,13 @@ from . import common, tokens
 
 MAX_BITS = 2
 SHINGLE = 3
-BUCKET = 32
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+CELL = 64
+NIBBLES, FAR = 16, 8
 _random = np.random.default_rng(20240607)
-#: Reference fingerprints: random ones, and ones that tell apart how bits lie in the word's parts.
-PIVOTS = [int(x) for x in _random.integers(0, 2**63, 12)] + [0x00000000FFFFFFFF, 0x0000FFFF0000FFFF, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F]
+_signed = lambda x: x - (1 << 64) if x >> 63 else x
+_first, *_far = (int(x) for x in _random.integers(0, 2**63, 1 + FAR))
+#: Reference fingerprints as signed integers: the first, its copies with a nibble inverted, and random ones far from it.
+PIVOTS = [_signed(x) for x in (_first, *(_first ^ (15 << 4 * j) for j in range(NIBBLES)), *_far)]
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -61,28 +69,40 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text")).mapInArrow(code, "doc_id long, row long, fp long")
 
 
-def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links ``a, b`` (a < b) between distinct fingerprints, of column ``fp``, that connect all that differ in at most two bits.
-
-    Small buckets give every such pair; large ones give, for each fingerprint one bit away, links to the group's least
-    member, which join the same fingerprints (a group's members are pairwise within two bits).
-    """
-    part = F.posexplode(F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1) for a, n in BLOCKS]))
-    blocks = nodes.select("fp", part.alias("block", "value"))
-    sizes = blocks.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sized = common.materialize(blocks.join(sizes, ["block", "value"]), "blocks")
-    small = sized.filter(F.col("size") <= bucket)
-    for k, p in enumerate(PIVOTS):
-        small = small.withColumn(f"p{k}", F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte"))
-    near = (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp"))
-    for k in range(len(PIVOTS)):
-        near &= F.abs(F.col(f"a.p{k}") - F.col(f"b.p{k}")) <= MAX_BITS
+def distances(nodes: DataFrame) -> DataFrame:
+    """Written table ``fp, to``: the Hamming distances of every distinct fingerprint to all ``PIVOTS``."""
+    to = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in PIVOTS])
+    return common.materialize(nodes.select("fp", to.alias("to")), "pivots")
+
+
+def cells(table: DataFrame) -> DataFrame:
+    """``cell, fp, far``: the cells of every fingerprint; far holds the distances to the further pivots, a byte each."""
+    part = [((F.col("to")[0] - F.col("to")[j + 1] + 4) / 2).cast("long") for j in range(NIBBLES)]
+    step = [F.lit(1 << 3 * j) for j in range(NIBBLES)]
+    own = sum((F.shiftleft(x, 3 * j) for j, x in enumerate(part)), F.lit(0).cast("long"))
+    far = sum((F.shiftleft(F.col("to")[1 + NIBBLES + k].cast("long"), 8 * k) for k in range(FAR)), F.lit(0).cast("long"))
+    at = table.select("fp", own.alias("own"), far.alias("far"), *[x.cast("byte").alias(f"c{j}") for j, x in enumerate(part)])
+    around = [F.lit(0).cast("long"), *(F.when(F.col(f"c{j}") < 4, s) for j, s in enumerate(step)), *(F.when(F.col(f"c{j}") > 0, -s) for j, s in enumerate(step))]
+    return at.select("fp", "far", "own", F.explode(F.array_compact(F.array(*around))).alias("by")).select((F.col("own") + F.col("by")).alias("cell"), "fp", "far")
+
+
+def links(nodes: DataFrame, crowd: int = CELL) -> DataFrame:
+    """Links ``a, b`` (a < b) between distinct fingerprints, of column ``fp``, that connect all that differ in at most two bits."""
+    at = cells(distances(nodes))
+    sizes = common.materialize(at.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cells")
+    met = common.materialize(common.join_counted(at, sizes, ["cell"], ["fp"]), "met")
+    few = met.filter(F.col("n") <= crowd)
+    near = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
+    for k in range(FAR):
+        here, there = (F.shiftright(f"{s}.far", 8 * k).bitwiseAND(F.lit(255)) for s in "ab")
+        near &= F.abs(here - there) <= MAX_BITS
     near &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS
-    pairs = small.alias("a").join(small.alias("b"), near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    large = sized.filter(F.col("size") > bucket).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)])
-    around = large.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
-    star = around.groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("all")).filter(F.size("all") > 1)
+    pairs = few.alias("a").join(few.alias("b"), near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    crowded = met.filter(F.col("n") > crowd).select("fp").distinct()
+    # the cell of a vector of distances to single-bit pivots is named by the fingerprint that has it
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
+    fine = crowded.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("cell"))
+    star = fine.groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("all")).filter(F.size("all") > 1)
     star = star.select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
     return pairs.unionByName(star).distinct()
 
@@ -94,20 +114,21 @@ def components(edges: DataFrame) -> DataFrame:
     until none changes an edge.  Per node only a minimum is formed, so a node of any degree is aggregated in parts.
     """
     edges = common.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    while True:
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
+    state = edges.agg(*sums).first()
+    while state.n:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = common.materialize(small, "edges")
-        if edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() == state:
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = common.join_counted(both, least, ["a"], ["b"], 2 * state.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = common.join_counted(large, low, ["a"], ["b"], state.n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        edges, before = common.materialize(small, "edges"), state
+        if (state := edges.agg(*sums).first()) == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, crowd: int = CELL) -> DataFrame:
     """``doc_id, row, fp, component_id, root`` of every row; root is the component's least fingerprint.
 
     component_id is the smallest non-null doc_id of the component (null if it has none).  Equal fingerprints are one node,
@@ -115,12 +136,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     An empty table gives no rows; other columns are not read.
     """
     rows = common.materialize(fingerprints(docs, doc_id, text, width), "fingerprints")
-    nodes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), bucket))
-    group = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = common.materialize(group.join(named, "root").select("fp", "component_id", "root"), "labels")
-    return rows.join(label, "fp").select("doc_id", "row", "fp", "component_id", "root")
+    nodes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    roots = components(links(nodes.select("fp"), crowd))
+    group = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    group = common.materialize(group, "groups")
+    named = group.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = common.join_counted(group, common.materialize(named, "named"), ["root"], ["fp"], n="nodes")
+    label = common.materialize(named.select("fp", "component_id", "root", "n"), "labels")
+    return common.join_counted(rows, label, ["fp"], ["doc_id", "row"]).select("doc_id", "row", "fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -135,10 +158,11 @@ def firsts(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str
     """``representatives`` of groups that are given as ``doc_id, row, root``."""
     copies = groups.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
     best = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("best")).select("best.doc_id", "best.row", "best.n")
-    best = common.materialize(best, "best").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "n")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_row"))
-    twice = common.materialize(best.filter("n > 1"), "twice")
-    once = docs.join(best.filter("n = 1"), same, "left_semi")
+    key, row, many = (common.fresh(k, docs) for k in ("_id", "_row", "_n"))
+    best = common.materialize(best, "best").toDF(key, row, many)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(key)) & F.xxhash64(F.col(text)).eqNullSafe(F.col(row))
+    twice = common.materialize(best.filter(F.col(many) > 1), "twice")
+    once = docs.join(best.filter(F.col(many) == 1), same, "left_semi")
     return once.unionByName(docs.join(twice, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
