@@ -91,8 +91,12 @@ class Voter:
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, label: str = "quality") -> Voter:
-    """Learns from at most ``each`` documents of either label whose crc32(doc_id as text) mod 5 isn't 0."""
+    """Learns from at most ``each`` documents of either label whose crc32(doc_id as text) mod 5 isn't 0.
+
+    Rows without an id, of labels other than 0 and 1, and documents that have both labels aren't learned from.
+    """
     rows = labels.filter((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col(label).isin(0, 1))
+    rows = rows.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("other")).filter(F.col(label) == F.col("other"))
     chosen = sampling.texts(docs, sampling.per_class(rows, label, each))
 
     def run(batches):
@@ -125,6 +129,7 @@ def classify(docs: DataFrame, voter: Voter, threshold: float = THRESHOLD, doc_id
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id has no remainder and isn't held out."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = classify(docs, fit(docs, common.table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
