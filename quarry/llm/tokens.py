@@ -10,6 +10,7 @@ them is encoded by itself.  ``tests/llm`` hold all of it against the library's i
 from __future__ import annotations
 
 import array
+import json
 import re
 import sys
 
@@ -18,15 +19,39 @@ WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin-1's lower-case and other letters, upper-case letters, numbers and spaces.
 LOW, UP, NUM, GAP = "a-zªµºß-öø-ÿ", "A-ZÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 SHORT = "'(?:[stmd]|re|ve|ll)"
-#: For each file: words of Latin-1 texts, parts of others, and what is done to a Latin-1 text first.
-CUTS = {
-    "byte_bpe_50k.json": (
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+#: Rules that are known: normalizer, pre-tokenizer, words of Latin-1 texts, parts of others, what is done to a Latin-1 text first.
+CUTS = [
+    (
+        None,
+        {**_BYTES, "use_regex": True},
         re.compile(f"{SHORT}| ?[{LOW}{UP}]+| ?[{NUM}]+| ?[^{GAP}{LOW}{UP}{NUM}]+|[{GAP}]+(?![^{GAP}])|[{GAP}]+"),
         re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+"),
         str,
     ),
-    "word_bpe_49k.json": (re.compile(f"{SHORT}|[{LOW}]+|[{NUM}]|[^{GAP}{LOW}{NUM}]+"), re.compile(f"[^{WS}]+"), str.lower),
-}
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {**_BYTES, "use_regex": False},
+            ],
+        },
+        re.compile(f"{SHORT}|[{LOW}]+|[{NUM}]|[^{GAP}{LOW}{NUM}]+"),
+        re.compile(f"[^{WS}]+"),
+        str.lower,
+    ),
+]
+
+
+def cuts(setup: dict):
+    """(words, parts, first) of a tokenizer's own description, None if its rules aren't known."""
+    model = setup["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in setup["added_tokens"]):
+        return None
+    return next((c[2:] for c in CUTS if c[:2] == (setup["normalizer"], setup["pre_tokenizer"])), None)
 
 
 def _byte_signs() -> dict[int, str]:
@@ -61,24 +86,31 @@ class Memo(dict):
 
 
 class WordEncoder:
-    """Encodes texts with one vocabulary file; ``limit`` bounds the cached words (about 200 bytes each)."""
+    """Encodes texts with one vocabulary file; ``limit`` bounds the cached words (about 200 bytes each).
+
+    A file whose rules aren't known here is left to the library, text by text.
+    """
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
-            raise ValueError("added tokens are to be found as they stand")
-        self.added = {t.content: little([i]) for i, t in added.items()}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known = cuts(json.loads(self.tokenizer.to_str()))
+        if self.known is None:
+            return
+        self.words, self.parts, self.first = self.known
+        self.added = {t.content: little([i]) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
-        self.words, self.parts, self.first = CUTS[path.rsplit("/", 1)[-1]]
         model = self.tokenizer.model.tokenize
         self.word_ids = Memo(lambda w: little([t.id for t in model(w.encode().decode("latin-1").translate(SIGNS))]), limit).__getitem__
         self.part_ids = Memo(lambda w: little(self.tokenizer.encode(w, add_special_tokens=False).ids), limit // 4).__getitem__
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids' bytes."""
+        if self.known is None:
+            return [little(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
         out = []
         for text in texts:
             at, found = 0, []
