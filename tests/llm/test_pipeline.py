@@ -5,7 +5,8 @@ import os
 from quarry.llm import common, language, neighbours, simhash
 
 import corpus_pipeline
-from test_operators import SMALL, brute_components, brute_fp, brute_lines
+from test_operators import SMALL, brute_lines
+from test_shingles import kept as kept_texts
 
 
 def test_stages(spark):
@@ -20,8 +21,8 @@ def test_stages(spark):
         kept[name] = (before, after)
     before, after = kept["language_id"]
     kernel = language.fit(docs)
-    langs, _ = kernel.predict([r.text for r in before.values()])
-    assert set(after) == {i for i, g in zip(before, langs, strict=True) if g != "und"}
+    langs, scores = kernel.predict([r.text for r in before.values()])
+    assert set(after) == {i for i, g, s in zip(before, langs, scores, strict=True) if g != "und" and s >= language.SURE}
     before, after = kept["quality_classifier"]
     voter = neighbours.fit(docs, common.table(spark, SMALL, "labels"))
     want = {i for i, r in before.items() if voter.score([r.text])[0] >= neighbours.THRESHOLD}
@@ -30,7 +31,8 @@ def test_stages(spark):
     for i, _, _, text in brute_lines([(i, r.text) for i, r in before.items()], 10):
         assert after[i].text == text and after[i].n_chars == len(text)
     before, after = kept["simhash_near_dedup"]
-    assert set(after) == set(brute_components([(i, brute_fp(r.text)) for i, r in before.items()]))
+    order = sorted(before)
+    assert set(after) == {order[k] for k in kept_texts([before[i].text for i in order])}
     packed = corpus_pipeline.STAGES[-1][1](spark, state, SMALL).collect()
     assert {r.doc_id for r in packed} == set(after)
 

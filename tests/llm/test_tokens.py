@@ -1,6 +1,7 @@
 """Word-wise token ids against the library's ids of whole texts."""
 
 import array
+import json
 
 import public_tokenizers
 import pytest
@@ -13,16 +14,7 @@ from quarry.llm import tokens
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
-def whole(name, text):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
-
-
 LIB = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in FILES}
-for _t in LIB.values():
-    _t.encode_special_tokens = True
-
 alphabet = st.sampled_from(list("aAzZéÉßµªº×÷²½ 0 9'sStT.,!?#<|>_-\n\t\r\x0b\x1c\x1f\x85\xa0") + ["  ", "'re", "'LL", " ", "　", "ǅ", "Σ", "ς", "İ", "日本", "😀", "é", "́", "<|endoftext|>", "ﬁ", "٣", "​", "’"])
 
 
@@ -39,3 +31,17 @@ def test_the_cache_bound_changes_nothing():
     small = tokens.WordEncoder(path, limit=2)
     texts = ["the cat sat on the mat", "naïve “quotes” here", "", "the the the"]
     assert small(texts) == tokens.encoder(path)(texts)
+
+
+def test_any_vocabulary_and_path(tmp_path):
+    texts = ["the cat  sat <|endoftext|> on", "naïve “quotes” 日本", "", "\t a"]
+    for name in FILES:
+        moved = tmp_path / "another name.json"
+        moved.write_bytes(open(public_tokenizers.path(name), "rb").read())
+        assert tokens.WordEncoder(str(moved))(texts) == tokens.encoder(public_tokenizers.path(name))(texts)
+    setup = json.loads(moved.read_text())
+    setup["normalizer"] = {"type": "Lowercase"}
+    moved.write_text(json.dumps(setup))
+    other = tokens.WordEncoder(str(moved))
+    lib = Tokenizer.from_file(str(moved))
+    assert other.known is None and other(texts) == [tokens.little(lib.encode(t, add_special_tokens=False).ids) for t in texts]
