@@ -57,8 +57,18 @@ def terms(text: str | None) -> np.ndarray:
     return np.sqrt(out)
 
 
+def right_vectors(x: np.ndarray, scale: np.ndarray, dims: int, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors of ``x * scale``, at most ``dims``, by subspace iteration from a fixed start."""
+    rank = min(*x.shape, dims + 16)
+    q = np.linalg.qr(np.random.default_rng(11).standard_normal((x.shape[1], rank)).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(scale[:, None] * (x.T @ (x @ (scale[:, None] * q))))[0]
+    turn = np.linalg.svd(x @ (scale[:, None] * q), full_matrices=False)[2]
+    return np.ascontiguousarray((q @ turn.T)[:, :dims])
+
+
 class Voter:
-    """``score(texts)`` of a fitted sample; without a sample every score is 0.5, with one class its label."""
+    """``score(texts)`` of a fitted sample ``x``, which is scaled in place; without one every score is 0.5, with one class its label."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, dims: int = DIMS, k: int = NEIGHBOURS):
         self.k, self.y = min(k, len(y)), y.astype(np.float32)
@@ -67,14 +77,10 @@ class Voter:
             return
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         self.idf[-EXTRA:] = 3
-        x = x * self.idf
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        used = np.flatnonzero((x > 0).any(0))
-        values, vectors = np.linalg.eigh(x[:, used].T @ x[:, used])
-        basis = np.zeros((TERMS, min(dims, len(used))), np.float32)
-        basis[used] = vectors[:, ::-1][:, : basis.shape[1]]
-        self.basis = basis * self.idf[:, None]
-        self.vectors = self.embed(x / self.idf)
+        norm = np.sqrt(sum(((x[:, k : k + 512] * self.idf[k : k + 512]) ** 2).sum(1) for k in range(0, TERMS, 512)))
+        x *= (1 / np.maximum(norm, 1e-12))[:, None]  # in place: the sample is held once
+        self.basis = right_vectors(x, self.idf, dims) * self.idf[:, None]
+        self.vectors = self.embed(x)
 
     def embed(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.basis
@@ -104,12 +110,16 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, label: str = "qual
 
         for b in batches:
             for s in tokens.slices(b, 256):
-                yield pa.RecordBatch.from_arrays([s["doc_id"], s["key"].cast(pa.int32()), pa.array([terms(t).tobytes() for t in s["text"].to_pylist()], pa.binary())], names=["doc_id", "y", "x"])
+                rows = [terms(t) for t in s["text"].to_pylist()]
+                used = [np.flatnonzero(r).astype(np.uint16) for r in rows]  # few of the terms are in a text
+                yield pa.RecordBatch.from_arrays([s["doc_id"], s["key"].cast(pa.int32()), pa.array([u.tobytes() for u in used], pa.binary()), pa.array([r[u].tobytes() for r, u in zip(rows, used, strict=True)], pa.binary())], names=["doc_id", "y", "at", "x"])
 
-    got = chosen.mapInArrow(run, "doc_id long, y int, x binary").toArrow()
+    got = chosen.mapInArrow(run, "doc_id long, y int, at binary, x binary").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, TERMS)
-    return Voter(x[order], got["y"].to_numpy()[order])
+    x, at, value = np.zeros((len(order), TERMS), np.float32), got["at"], got["x"]
+    for row, i in zip(x, order.tolist(), strict=True):
+        row[np.frombuffer(at[i].as_py(), np.uint16)] = np.frombuffer(value[i].as_py(), np.float32)
+    return Voter(x, got["y"].to_numpy()[order])
 
 
 def classify(docs: DataFrame, voter: Voter, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -96,6 +96,15 @@ def test_documents_of_both_labels_teach_nothing(spark):
     assert len(neighbours.fit(docs, labels).y) == used
 
 
+def test_latent_space_is_the_truncated_svd():
+    rnd = np.random.default_rng(5)
+    x = (rnd.random((60, 200)) * (rnd.random((60, 200)) < 0.2) * np.linspace(3, 0.1, 60)[:, None]).astype(np.float32)
+    scale = rnd.uniform(1, 3, 200).astype(np.float32)
+    v = neighbours.right_vectors(x, scale, 8, rounds=60)
+    want = np.linalg.svd(x * scale)[2][:8].T
+    assert np.allclose(v @ v.T, want @ want.T, atol=2e-2)
+
+
 def test_every_language_is_learned(spark):
     docs = spark.createDataFrame([(k, f"word{k % 300:03d} " * 5, f"l{k % 300:03d}") for k in range(1500)], "doc_id long, text string, lang string")
     kernel = language.fit(docs)
