@@ -75,16 +75,19 @@ def fresh(name: str, *frames: DataFrame) -> str:
 HOT, SALTS = 1000, 64
 
 
-def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[str], total: int | None = None, n: str = "n", how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[str], total: int | None = None, n: str = "n", how: str = "inner", few: int = 0) -> DataFrame:
     """``rows`` joined on ``keys`` with ``one``, which has one row (or few) per key and in ``n`` how many of ``rows`` share it.
 
     The keys that hold over a thousandth of the rows are at most a thousand, whatever the data, and are broadcast to mark
     their rows; those rows are dealt by a hash of ``spread`` to several tasks, each with a copy of the key's one row.  Rows
     with a null key, which match nothing, are dealt likewise.
-    ``total``: the sum of ``n``, counted here if not given (``one`` should then be a written table).
+    ``total``: the sum of ``n``, counted here if not given (``one`` should then be a written table).  Up to ``few`` rows in
+    all are joined plainly, with the same result.
     """
     if total is None:
         total = one.agg(F.sum(n)).first()[0] or 0
+    if total <= few:
+        return rows.join(one, keys, how)
     mark, salt = fresh("_hot", rows, one), fresh("_salt", rows, one)
     hot = F.col(n) * HOT > total
     marked = rows.join(F.broadcast(one.filter(hot).select(*keys).distinct().withColumn(mark, F.lit(True))), keys, "left")

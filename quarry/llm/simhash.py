@@ -28,6 +28,8 @@ from . import common, tokens
 MAX_BITS = 2
 SHINGLE = 3
 CELL = 64
+#: So few links, 16 bytes each, are joined without looking for hot nodes: one task may hold them all.
+FEW = 1 << 20
 NIBBLES, FAR = 16, 8
 _random = np.random.default_rng(20240607)
 _signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -119,9 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state.n:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = common.join_counted(both, least, ["a"], ["b"], 2 * state.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = common.join_counted(both, least, ["a"], ["b"], 2 * state.n, few=FEW).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = common.join_counted(large, low, ["a"], ["b"], state.n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = common.join_counted(large, low, ["a"], ["b"], state.n, few=FEW).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         edges, before = common.materialize(small, "edges"), state
         if (state := edges.agg(*sums).first()) == before:
             break
