@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import to_spark
@@ -12,9 +13,19 @@ from .plans.base import TABLES
 class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.columns: dict[str, dict[str, str]] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
         df.createOrReplaceTempView(name)
+        self.columns[name] = {c.lower(): t for c, t in df.dtypes}
+
+    def integers(self) -> frozenset[str]:
+        """Names that stand for an integer in every registered table that has them."""
+        kinds: dict[str, set[str]] = {}
+        for columns in self.columns.values():
+            for c, t in columns.items():
+                kinds.setdefault(c, set()).add(t)
+        return frozenset(c for c, t in kinds.items() if t <= {"tinyint", "smallint", "int", "bigint"})
 
     def register_dir(self, sf_dir: str) -> None:
         for t in TABLES:
@@ -22,7 +33,14 @@ class Engine:
 
     def sql(self, text: str, *params) -> DataFrame:
         """One statement; parameters for ``?``, ``?N`` and ``$N`` in order."""
-        return self.spark.sql(to_spark(text), args={f"p{k + 1}": v for k, v in enumerate(params)} or None)
+        args = {f"p{k + 1}": v for k, v in enumerate(params)} or None
+        whole, plain = to_spark(text, self.integers()), to_spark(text)
+        try:
+            return self.spark.sql(whole, args=args)
+        except AnalysisException:
+            if whole == plain:
+                raise
+            return self.spark.sql(plain, args=args)  # an alias hides a column of that name
 
     def script(self, text: str) -> list[DataFrame]:
         return [self.sql(s) for s in statements(text)]

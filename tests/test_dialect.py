@@ -46,6 +46,35 @@ CASES = [
     ("SELECT 'it''s -- no comment' -- a comment", ["it's -- no comment"]),
     ("SELECT total(id) FROM c WHERE id > 99", [0.0]),
     ("SELECT c.name FROM c LEFT JOIN o ON o.cid = c.id WHERE o.id IS NULL ORDER BY c.name", ["caio", "duda"]),
+    ("SELECT 7 / 2", [3]),
+    ("SELECT -7 / 2", [-3]),
+    ("SELECT 7 / 2.0", [3.5]),
+    ("SELECT o.id / 4 FROM o ORDER BY 1", [2, 2, 3, 3]),
+    ("SELECT total / 4 FROM o WHERE id = 10", [12.5]),
+    ("SELECT x / 2 FROM (SELECT total AS x FROM o WHERE id = 13) t", [49.5]),
+    ("SELECT id / 2 FROM (SELECT total AS id FROM o WHERE id = 13) t", [49.5]),
+    ("SELECT 1 << 65", [0]),
+    ("SELECT 1 << 40", [1 << 40]),
+    ("SELECT 256 >> 4", [16]),
+    ("SELECT 1 << -1", [0]),
+    ("SELECT initcap('ola-mundo É1a')", ["Ola-Mundo É1a"]),
+    ("SELECT split_part('a,b', ',', -9)", ["a"]),
+    ("SELECT split_part('a,b', ',', 2)", ["b"]),
+    ("SELECT split_part('a.b.c', '.', -1)", ["c"]),
+    ("SELECT split_part('a,b', ',', 5)", [""]),
+    ("SELECT chr(300)", ["\u012c"]),
+    ("SELECT typeof(1)", ["integer"]),
+    ("SELECT typeof('x') || typeof(1.5) || typeof(NULL)", ["textrealnull"]),
+    ("SELECT round(1.005, 2)", [1.0]),
+    ("SELECT round(-2.5)", [-3.0]),
+    ("SELECT quote_literal('it''s')", ["'it''s'"]),
+    ("SELECT id FROM c WHERE id > ALL (SELECT cid FROM o WHERE cid < 3) ORDER BY id", [3, 4]),
+    ("SELECT id FROM c WHERE id >= ANY (SELECT cid FROM o WHERE cid > 1) ORDER BY id", [2, 3, 4]),
+    ("SELECT id FROM c WHERE id < ALL (SELECT cid FROM o WHERE cid > 99) ORDER BY id", [1, 2, 3, 4]),
+    ("SELECT id FROM c WHERE id <> ANY (SELECT cid FROM o) ORDER BY id", [1, 2, 3, 4]),
+    ("SELECT id FROM c WHERE id = ALL (SELECT cid FROM o WHERE cid = 1)", [1]),
+    ("SELECT count(*) FROM c WHERE id > ALL (SELECT nullif(cid, 9) FROM o)", [0]),
+    ("SELECT count(*) FROM c WHERE id > ANY (ARRAY[2, 3])", [2]),
     ("SELECT trim('\t x '), weekday('2024-01-07')", ["x"]),
 ]
 
@@ -63,7 +92,7 @@ def test_parameters_and_scripts(engine):
 
 
 def test_what_has_no_rewriting_says_so():
-    for sql in ("", "SELECT (1", "SELECT 1)", "SELECT 1 > ALL (SELECT 2)", "SELECT a::blob"):
+    for sql in ("", "SELECT (1", "SELECT 1)", "SELECT 1 > ALL 2", "SELECT a::blob"):
         with pytest.raises(DialectError):
             to_spark(sql)
 
