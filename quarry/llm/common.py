@@ -71,7 +71,7 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-#: A key with over 1/HOT of the rows is hot, so there are at most HOT of them; its rows are dealt to SALTS tasks.
+#: A key with over 1/HOT of the rows is hot, so there are at most HOT of them; its rows are dealt in parts of about 1/HOT, at most SALTS.
 HOT, SALTS = 1000, 64
 
 
@@ -79,8 +79,9 @@ def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[
     """``rows`` joined on ``keys`` with ``one``, which has one row (or few) per key and in ``n`` how many of ``rows`` share it.
 
     The keys that hold over a thousandth of the rows are at most a thousand, whatever the data, and are broadcast to mark
-    their rows; those rows are dealt by a hash of ``spread`` to several tasks, each with a copy of the key's one row.  Rows
-    with a null key, which match nothing, are dealt likewise.
+    their rows; those rows are dealt by a hash of ``spread`` to several tasks, each with a copy of the key's one row.  A key
+    has as many copies as thousandths, so all hot keys together have at most 2000 for each row that ``one`` has of a key.
+    Rows with a null key, which match nothing, are dealt likewise.
     ``total``: the sum of ``n``, counted here if not given (``one`` should then be a written table).  Up to ``few`` rows in
     all are joined plainly, with the same result.
     """
@@ -88,12 +89,12 @@ def join_counted(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[
         total = one.agg(F.sum(n)).first()[0] or 0
     if total <= few:
         return rows.join(one, keys, how)
-    mark, salt = fresh("_hot", rows, one), fresh("_salt", rows, one)
-    hot = F.col(n) * HOT > total
-    marked = rows.join(F.broadcast(one.filter(hot).select(*keys).distinct().withColumn(mark, F.lit(True))), keys, "left")
+    parts, salt = fresh("_parts", rows, one), fresh("_salt", rows, one)
+    share = F.when(F.col(n) * HOT > total, F.least(F.lit(SALTS), F.ceil(F.col(n) * HOT / total)).cast("long"))
+    marked = rows.join(F.broadcast(one.select(*keys, share.alias(parts)).filter(F.col(parts).isNotNull()).distinct()), keys, "left")
     place, no_key = F.xxhash64(*spread), reduce(or_, (F.col(k).isNull() for k in keys))
-    marked = marked.withColumn(salt, F.when(no_key, place).when(F.col(mark), F.pmod(place, F.lit(SALTS))).otherwise(0).cast("long")).drop(mark)
-    copies = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    marked = marked.withColumn(salt, F.when(no_key, place).when(F.col(parts).isNotNull(), F.pmod(place, F.col(parts))).otherwise(0).cast("long")).drop(parts)
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(share, F.lit(1).cast("long")) - 1)
     return marked.join(one.withColumn(salt, F.explode(copies)), [*keys, salt], how).drop(salt)
 
 

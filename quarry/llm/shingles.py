@@ -8,8 +8,8 @@ In a bucket of up to ``CROWD`` members all pairs are candidates.  Members of lar
 or a family of copies, meet by prefixes instead, which misses no pair: with each set's shingles in one order, rare ones
 first, two similar sets share one of their first n - ceil(0.8 n) + 1.  Where a shingle stands in both sets bounds what they
 can have in common, and pairs below the threshold are no candidates.  Of a shingle with many sets, those in which it stands
-first, the middle of a family, meet all others; then eight times as many, and so on, as long as the shingle has more than
-one component and sets that can still match.  Pairs within a component can add nothing, so no link is left out.
+first, the middle of a family, meet all others and leave; then eight times as many, and so on, as long as the shingle has
+more than one component and sets that can still match.  Pairs within a component can add nothing, so no link is left out.
 """
 
 from __future__ import annotations
@@ -153,19 +153,22 @@ def _through_prefixes(members: DataFrame, labels: DataFrame, sets: DataFrame, ce
     while True:
         now = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parted = now.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("open"), F.count(F.lit(1)).alias("all"), F.min("n").alias("least")).filter("open").drop("open")
-        now = common.join_counted(now, common.materialize(parted, "open"), ["bucket"], ["node"], n="all").filter("reach >= least").drop("least")
+        now = common.join_counted(now, common.materialize(parted, "open"), ["bucket"], ["node"], n="all", few=simhash.FEW).filter("reach >= least").drop("least")
         now = common.materialize(now, "members")
         total, largest = now.agg(F.count(F.lit(1)), F.max("all")).first()
         if not total:
             return labels
         first = now.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy("pos", "node"))).filter(F.col("_n") <= centres)
-        first = first.select("bucket", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_size"), F.col("reach").alias("c_reach"), "all")
+        first = first.select("bucket", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_size"), F.col("reach").alias("c_reach"), F.col("pos").alias("c_pos"), "all")
         can = (F.col("root") != F.col("c_root")) & (F.col("reach") >= F.col("c_size")) & (F.col("c_reach") >= F.col("n")) & (DENOMINATOR * F.least("n", "c_size") >= NUMERATOR * F.greatest("n", "c_size"))
-        pairs = common.join_counted(now.drop("all"), first, ["bucket"], ["node"], total, n="all").filter(can)
+        pairs = common.join_counted(now.drop("all"), first.drop("c_pos"), ["bucket"], ["node"], total, n="all", few=simhash.FEW).filter(can)
         labels = _linked(pairs, labels, sets)
         if largest <= centres:
             return labels
-        members = now.filter(F.col("all") > centres).select("bucket", "node", "n", "pos", "reach")
+        # centres have met all others of their shingle, so they are no members of it any more: each row is a centre once
+        last = first.groupBy("bucket", "all").agg(F.max(F.struct("c_pos", "c")).alias("last")).filter(F.col("all") > centres)
+        left = common.join_counted(now.drop("all"), common.materialize(last, "last"), ["bucket"], ["node"], total, n="all", few=simhash.FEW)
+        members = left.filter(F.struct("pos", "node") > F.col("last")).select("bucket", "node", "n", "pos", "reach")
         centres *= 8
 
 

@@ -72,3 +72,26 @@ def test_bands_find_pairs_at_the_threshold():
         words = [f"w{rnd.randrange(10**6)}" for _ in range(94)]
         a, b = shingles.shingles(" ".join(words)), shingles.shingles(" ".join([*words, *"abcdefghij"]))
         assert set(shingles.buckets(a)) & set(shingles.buckets(b))
+
+
+def test_each_row_of_a_prefix_is_a_centre_once(spark, monkeypatch):
+    rnd = random.Random(5)
+    some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rare, pool = some(40), [some(40) for _ in range(8)]  # a passage of 30 unlike texts, rarer than what else is in them
+    texts = [" ".join(sum(rnd.sample(pool, 3), rare if k < 30 else [])) for k in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    join, rounds = shingles.common.join_counted, []
+
+    def noted(rows, one, *a, **b):
+        if "c" in one.columns:
+            rounds.append([(r.bucket, r.c) for r in one.select("bucket", "c").collect()])
+        return join(rows, one, *a, **b)
+
+    monkeypatch.setattr(shingles.common, "join_counted", noted)
+    monkeypatch.setattr(shingles.simhash, "FEW", 0)
+    roots = {}
+    for r in shingles.groups(df, crowd=1, centres=2).collect():
+        roots.setdefault(r.root, []).append(r.doc_id)
+    assert {min(x) for x in roots.values()} == kept(texts)
+    centres = sum(rounds, [])
+    assert len(rounds) > 1 and len(centres) == len(set(centres))
