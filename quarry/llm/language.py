@@ -140,7 +140,8 @@ def identify(docs: DataFrame, kernel: Kernel, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang": langs, "score": scores}, columns=["lang", "score"]).astype({"lang": object, "score": float})
 
     both = common.fresh("_language", docs)
-    out = docs.withColumn(both, run(F.col(text)))
+    # else a filter on the result is moved below it with a copy of the model's run, and each run holds workers of its own
+    out = docs.withColumn(both, run.asNondeterministic()(F.col(text)))
     return out.withColumns({"lang_pred": F.col(both)["lang"], "lang_score": F.col(both)["score"]}).drop(both)
 
 

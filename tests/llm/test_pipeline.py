@@ -37,6 +37,13 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == set(after)
 
 
+def test_models_run_once_in_a_stage(spark):
+    docs = common.table(spark, SMALL, "documents")
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.quality_stage):
+        plan = stage(spark, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
