@@ -34,7 +34,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 or more stays, the one with the smallest id."""
+    """One document of each group of five-word similarity 0.8 or more stays, the one with the smallest id.
+
+    Operator 3's fingerprints and pivot tables give the closest candidates, minhashes and prefixes those too far apart for them.
+    """
     return simhash.firsts(docs, shingles.groups(docs)).select(*docs.columns)
 
 

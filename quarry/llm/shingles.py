@@ -1,8 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles (the pipeline's near-duplicate stage).
 
 Two texts are linked if the sets of their shingles of ``WIDTH`` words have a similarity of ``NUMERATOR / DENOMINATOR`` or
-more; components of links are groups.  Candidates share one of ``BANDS`` buckets of ``ROWS`` minhashes each, so a pair at
-0.8 is missed with a chance of (1 - 0.8 ** 4) ** 30, about 1e-7; every candidate is verified on its whole shingle sets.
+more; components of links are groups.  The first candidates are operator 3's: its fingerprints within two bits, found by its
+pivot tables.  They hold the closest copies only, since texts at 0.8 differ in about 10 bits, where pivots tell nothing
+apart.  So further candidates share one of ``BANDS`` buckets of ``ROWS`` minhashes each, which misses a pair at 0.8 with a
+chance of (1 - 0.8 ** 4) ** 30, about 1e-7; every candidate of either kind is verified on its whole shingle sets.
 
 In a bucket of up to ``CROWD`` members all pairs are candidates.  Members of larger ones, such as texts that share a passage
 or a family of copies, meet by prefixes instead, which misses no pair: with each set's shingles in one order, rare ones
@@ -62,17 +64,19 @@ def _signed(hashes: np.ndarray) -> int:
 
 
 def _rows(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, row, node, buckets`` of every row; node stands for the shingle set, row for the text."""
+    """``doc_id, row, node, fp, buckets`` of every row; node stands for the shingle set, row for the text, fp is operator 3's."""
 
     def code(batches):
         import pyarrow as pa
 
         for whole in batches:
             for b in tokens.slices(whole):
-                sets = [shingles(t, width) for t in b["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(map(_signed, sets), pa.int64()), pa.array(map(buckets, sets), pa.list_(pa.int64()))], names=["doc_id", "row", "node", "buckets"])
+                texts = b["text"].to_pylist()
+                sets = [shingles(t, width) for t in texts]
+                fps = pa.array(map(simhash.fingerprint, texts), pa.int64())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(map(_signed, sets), pa.int64()), fps, pa.array(map(buckets, sets), pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "buckets"])
 
-    return docs.mapInArrow(code, "doc_id long, row long, node long, buckets array<long>")
+    return docs.mapInArrow(code, "doc_id long, row long, node long, fp long, buckets array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -110,6 +114,19 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return common.materialize(old.select("node", F.coalesce("to", "root").alias("root")).unionByName(new), "roots")
 
 
+def _close(rows: DataFrame) -> DataFrame:
+    """Written table ``node, c`` of the sets whose texts' fingerprints are equal or within operator 3's two bits.
+
+    Of the sets of one fingerprint the least meets the others, and those of fingerprints that are linked to it.
+    """
+    of = common.materialize(rows.select("node", "fp").distinct(), "fingerprints")
+    least = common.materialize(of.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "least")
+    equal = common.join_counted(of, least.filter("n > 1"), ["fp"], ["node"]).select("node", F.col("first").alias("c"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "node"), ("b", "c")))
+    linked = simhash.links(least.select("fp")).join(a, "a").join(b, "b").select("node", "c")
+    return common.materialize(equal.unionByName(linked).filter("node <> c").distinct(), "close")
+
+
 def _prefixes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Written table ``bucket, node, n, pos, size``: the shingles of the prefixes of ``nodes``' sets of ``n``, and their places.
 
@@ -193,15 +210,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = common.materialize(shared, "shared")
     members = common.materialize(common.join_counted(members, shared, ["bucket"], ["node"], n="size"), "buckets")
-    some = members.select("node").distinct().join(nodes.drop("buckets"), "node")
+    close = _close(rows)
+    some = members.select("node").union(close.select("node")).union(close.select("c")).distinct().join(nodes.drop("buckets"), "node")
     some = common.materialize(some.drop("node"), "candidates")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("row").eqNullSafe(F.col("_row"))
     sets = common.materialize(_sets(plain.join(some, same, "left_semi"), width).dropDuplicates(["node"]), "sets")
 
     labels = rows.sparkSession.createDataFrame([], "node long, root long")
-    few = members.filter(F.col("size") <= crowd)
-    other = few.select("bucket", F.col("node").alias("c"))
-    labels = _linked(few.join(other, "bucket").filter("node < c").select("node", F.col("node").alias("root"), "c", F.col("c").alias("c_root")), labels, sets)
+    labels = _linked(close.select("node", F.col("node").alias("root"), "c", F.col("c").alias("c_root")), labels, sets)
+    few = members.filter(F.col("size") <= crowd).join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    other = few.select("bucket", F.col("node").alias("c"), F.col("root").alias("c_root"))
+    labels = _linked(few.join(other, "bucket").filter("node < c AND root <> c_root").select("node", "root", "c", "c_root"), labels, sets)
     crowded = common.materialize(members.filter(F.col("size") > crowd).select("node").distinct(), "crowded")
     if not crowded.isEmpty():
         labels = _through_prefixes(_prefixes(sets, crowded), labels, sets, centres)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from quarry.llm import shingles
+from quarry.llm import shingles, simhash
 
 
 def grams(text):
@@ -95,3 +95,16 @@ def test_each_row_of_a_prefix_is_a_centre_once(spark, monkeypatch):
     assert {min(x) for x in roots.values()} == kept(texts)
     centres = sum(rounds, [])
     assert len(rounds) > 1 and len(centres) == len(set(centres))
+
+
+def test_fingerprints_and_pivots_give_candidates(spark, monkeypatch):
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    same = "one passage often said again " * 200
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join(base[:1500]), same, f"{same}{' '.join(base[:40])}"]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and (fps[3] ^ fps[4]).bit_count() <= 2
+    monkeypatch.setattr(shingles, "buckets", lambda hashes: [])  # no minhashes: what is found is found by pivots
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in shingles.groups(df).collect()}
+    assert root[0] == root[1] and len(set(root.values())) == 4  # fingerprints as close as the last two's are verified
