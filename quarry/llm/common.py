@@ -63,6 +63,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives the memory that this process has freed back to the system, which allocators else keep for as long as a worker lives.
+
+    An idle worker counts with its executor as much as a busy one.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def releasing(batches):
+    """The batches one by one; after each, ``release``."""
+    for b in batches:
+        yield b
+        del b
+        release()
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until no column of the frames has it."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -7,6 +7,7 @@ can decompress the file; a reader that wants some documents reads the table and
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -119,6 +120,14 @@ class Reader:
             yield key, a // 4, raw[a - int(self.raw_at[k]) : b - int(self.raw_at[k])]
 
 
+def _encoded(batches, encode, end: bytes) -> Iterator[tuple[int | None, bytes]]:
+    """(id, ids' bytes) of every row of record batches, which are taken one at a time."""
+    for whole in common.releasing(batches):
+        for b in tokens.slices(whole):
+            yield from zip(b["id"].to_pylist(), (x + end for x in encode([t or "" for t in b["text"].to_pylist()])), strict=True)
+        whole = b = None
+
+
 def write_files(docs: DataFrame, path: str, end_id: int, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write ``docs`` to files in ``folder`` in ascending order of ids: one row per file, ``shard, file, n_docs, n_tokens``.
 
@@ -135,17 +144,12 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, doc_id: st
         fs, where = common.open_fs(folder)
         fs.create_dir(where)
 
-        def rows(first):
-            for whole in (first, *batches):
-                for b in tokens.slices(whole):
-                    yield from zip(b["id"].to_pylist(), (x + end for x in encode([t or "" for t in b["text"].to_pylist()])), strict=True)
-
         first = next((b for b in batches if b.num_rows), None)
         if first is not None:
             part = TaskContext.get().partitionId()
             name = f"{where}/{part:08d}-{uuid.uuid4().hex}.ids.zst"
             with fs.open_output_stream(name, compression=None) as out:
-                n, total = write(out, rows(first))
+                n, total = write(out, _encoded(itertools.chain([first], batches), encode, end))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "file": [name.rsplit("/", 1)[-1]], "n_docs": [n], "n_tokens": [total]})
 
     dealt = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
@@ -162,7 +166,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
 
         fs, where = common.open_fs(folder)
-        for b in batches:
+        for b in common.releasing(batches):
             for name, base in zip(b["file"].to_pylist(), b["base"].to_pylist(), strict=True):
                 with fs.open_input_file(f"{where}/{name}") as f:
                     rows = []
