@@ -112,7 +112,7 @@ def fit(docs: DataFrame, each: int = EACH, total: int = TOTAL) -> Kernel:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.releasing(batches):
             for s in tokens.slices(b, 256):
                 yield pa.RecordBatch.from_arrays([s["doc_id"], s["key"], pa.array([grams(t).tobytes() for t in s["text"].to_pylist()], pa.binary())], names=["doc_id", "lang", "x"])
 
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, kernel: Kernel, text: str = "text") -> DataFrame:
             a, b = kernel.predict(t[k : k + 256])
             langs += a
             scores += b.tolist()
+        common.release()
         return pd.DataFrame({"lang": langs, "score": scores}, columns=["lang", "score"]).astype({"lang": object, "score": float})
 
     both = common.fresh("_language", docs)

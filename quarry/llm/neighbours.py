@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, label: str = "qual
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.releasing(batches):
             for s in tokens.slices(b, 256):
                 rows = [terms(t) for t in s["text"].to_pylist()]
                 used = [np.flatnonzero(r).astype(np.uint16) for r in rows]  # few of the terms are in a text
@@ -133,7 +133,9 @@ def classify(docs: DataFrame, voter: Voter, threshold: float = THRESHOLD, doc_id
         import pandas as pd
 
         t = s.tolist()
-        return pd.Series(np.concatenate([voter.score(t[k : k + 256]) for k in range(0, len(t), 256)] or [np.zeros(0)]))
+        scores = [voter.score(t[k : k + 256]) for k in range(0, len(t), 256)]
+        common.release()
+        return pd.Series(np.concatenate(scores or [np.zeros(0)]))
 
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
