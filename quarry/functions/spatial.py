@@ -28,9 +28,11 @@ def sphere(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def cell(x: Column, bits: int) -> Column:
+def cell(x: Column, bits: int, wrap: bool = False) -> Column:
+    """Outside the limits the cell at the edge, so that ranges of the curve cover boxes; with ``wrap`` the low bits of the cell's number."""
     top = (1 << bits) - 1
-    return F.least(F.greatest(F.floor((x + LIMIT) / (2 * LIMIT) * top), F.lit(0)), F.lit(top)).cast("bigint")
+    at = F.floor((x + LIMIT) / (2 * LIMIT) * top)
+    return at.bitwiseAND(F.lit(top)) if wrap else F.least(F.greatest(at, F.lit(0)), F.lit(top)).cast("bigint")
 
 
 def cell_of(x: float, bits: int) -> int:
@@ -44,13 +46,13 @@ def spread(v: int, dims: int, bits: int) -> int:
     return sum((v >> i & 1) << dims * i for i in range(bits))
 
 
-def morton(*axes: Column) -> Column:
+def morton(*axes: Column, wrap: bool = False) -> Column:
     """Bits of the axes' cells in turn: 31 of two axes, 21 of three."""
     dims = len(axes)
     steps = {2: ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)), 3: ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))}[dims]
     out = F.lit(0).cast("bigint")
     for k, x in enumerate(axes):
-        v = cell(x, 31 if dims == 2 else 21)
+        v = cell(x, 31 if dims == 2 else 21, wrap)
         for shift, mask in steps:
             v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
         out = out.bitwiseOR(F.shiftleft(v, k))
