@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quantified, recursive, relations
@@ -83,7 +84,26 @@ by_sql("win_lag_lead", f"SELECT o_orderkey, lag(o_totalprice) OVER {W} AS prev,
 by_sql("win_first_last_nth", f"SELECT o_orderkey, first_value(o_orderkey) OVER {W} AS f, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, nth_value(o_orderkey, 2) OVER {W} AS second FROM orders")
 by_sql("win_running_sum", f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER {W} AS DOUBLE) AS running, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey) AS DOUBLE) AS total, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders")
 by_sql("win_moving_avg", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS near, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS earlier FROM orders")
-by_sql("win_range_offset", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near, count(*) OVER (PARTITION BY event_type ORDER BY user_id RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM events WHERE value IS NOT NULL")
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near, count(*) OVER (PARTITION BY event_type ORDER BY user_id RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM events WHERE value IS NOT NULL")
+def win_range_offset(spark, sf_dir):
+    """Each count from frames that only grow, which Spark fills in one pass: others are filled anew for every row.
+
+    All rows of a user are at most ``value + 5`` or at least ``value - 5``, and the near ones are both.
+    """
+    rows = load(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_id", "user_id", "event_type", "value")
+    # the few types would each be one task of all their rows: their windows go over users
+    users = rows.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    after = Window.partitionBy("event_type").orderBy(F.col("user_id").desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    users = users.select(F.col("event_type").alias("_type"), F.col("user_id").alias("_user"), F.sum("n").over(after).alias("rest"))
+    user = Window.partitionBy("user_id")
+    below = F.count(F.lit(1)).over(user.orderBy("value").rangeBetween(Window.unboundedPreceding, 5))
+    above = F.count(F.lit(1)).over(user.orderBy(F.desc("value")).rangeBetween(Window.unboundedPreceding, 5))
+    near = rows.select("event_id", "user_id", "event_type", (below + above - F.count(F.lit(1)).over(user)).alias("near"))
+    same = F.col("event_type").eqNullSafe(F.col("_type")) & F.col("user_id").eqNullSafe(F.col("_user"))
+    return near.join(users, same).select("event_id", "near", "rest")
+
+
 by_sql("win_groups_as_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM orders")
 by_sql("win_over_group", "SELECT o_custkey, CAST(rank() OVER (ORDER BY count(*) DESC, o_custkey) AS BIGINT) AS rk, count(*) AS n FROM orders GROUP BY o_custkey")
 by_sql("win_string_agg", "SELECT n_name, array_join(collect_list(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), '+') AS upto FROM nation", "SELECT n_name, string_agg(n_name, '+') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS upto FROM nation")

@@ -1,5 +1,7 @@
 """Queries on rows that only larger tables have: keys beyond limits, crowded groups, many windows."""
 
+import time
+
 import duckdb
 
 from quarry import plans
@@ -22,3 +24,13 @@ def test_morton_code_beyond_the_limits(spark, tmp_path):
     rows = [(1, 5.0), (286_001, -7.25), (900_000, 9999.99), (5_400_000, 0.0), (-500_000, 3.0), (7, 2e6), (8, -3e6), (9, None)]
     got, want = both(spark, tmp_path, "morton_code", "customer", rows, "c_custkey long, c_acctbal double")
     assert got == want
+
+
+def test_range_counts_of_a_crowded_user_and_type(spark, tmp_path):
+    """A frame that is filled anew for every row of the type would read 8 * 10^8 rows."""
+    odd = [(1, None, "a", 5.0), (2, None, "a", 10.0), (3, 7, None, 0.1), (4, 7, None, 5.1), (5, 7, "a", 10.1), (6, 7, "b", None), (7, 7, "b", -0.0), (8, 7, "b", 5.0), (9, -3, "b", 1e300), (10, 8, "b", float("inf"))]
+    crowd = [(100 + k, 1, "view", float(k % 40) / 4) for k in range(3000)] + [(10_000 + k, 50 + k, "view", 3.5) for k in range(40_000)]
+    start = time.perf_counter()
+    got, want = both(spark, tmp_path, "win_range_offset", "events", odd + crowd, "event_id long, user_id long, event_type string, value double")
+    assert got == want
+    assert time.perf_counter() - start < 60
