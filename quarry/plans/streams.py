@@ -30,7 +30,8 @@ def stream_sliding(spark, sf_dir):
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS window_start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, sf_dir):
-    out = events.collect(events.sessions(_events(spark, sf_dir), "ts", "2 hours", ["user_id"], F.count(F.lit(1)).alias("n")))
+    gap = "2 hours -1 microseconds"  # events just two hours apart are in two sessions
+    out = events.collect(events.sessions(_events(spark, sf_dir), "ts", gap, ["user_id"], F.count(F.lit(1)).alias("n")))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n")
 
 

@@ -31,12 +31,22 @@ def _name(agg: Column) -> str:
 
 
 def collect(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives its result as a batch (for results that fit the driver's memory)."""
-    name = f"q{uuid.uuid4().hex}"
+    """Runs a stream over all that is there and gives its result as a batch.
+
+    The result lies in Parquet files beside the stream's checkpoint: of ``complete`` the last round's, which has all rows, else
+    those of all rounds.  The driver holds none of its rows.
+    """
     spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", spark.conf.get("spark.checkpoint.dir", None) and f"{spark.conf.get('spark.checkpoint.dir')}/{name}" or tempfile.mkdtemp(prefix="quarry-stream-")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quarry-stream-')}/q{uuid.uuid4().hex}"
+    rounds: list[str] = []
+
+    def keep(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}-rows/{k}")
+        rounds.append(f"{path}-rows/{k}")
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    found = rounds[-1:] if mode == "complete" else rounds
+    return spark.read.schema(df.schema).parquet(*found) if found else spark.createDataFrame([], df.schema)
 
 
 def store(df: DataFrame, path: str, checkpoint: str) -> None:

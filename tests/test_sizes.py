@@ -1,5 +1,6 @@
 """Queries on rows that only larger tables have: keys beyond limits, crowded groups, many windows."""
 
+import datetime
 import time
 
 import duckdb
@@ -34,3 +35,14 @@ def test_range_counts_of_a_crowded_user_and_type(spark, tmp_path):
     got, want = both(spark, tmp_path, "win_range_offset", "events", odd + crowd, "event_id long, user_id long, event_type string, value double")
     assert got == want
     assert time.perf_counter() - start < 60
+
+
+def test_streams_leave_their_rows_in_files(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(k, at + datetime.timedelta(hours=3 * (k // 50), minutes=k), k % 50, "click") for k in range(1000)]
+    rows += [(2000 + k, at + datetime.timedelta(hours=2 * k), 99, "view") for k in range(3)]  # just the gap apart
+    for name in ("stream_session", "stream_dedup"):
+        got, want = both(spark, tmp_path / name, name, "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+        assert got == want
+    df = plans.QUERIES["stream_session"](spark, str(tmp_path / "stream_session"))
+    assert df.inputFiles() and df._jdf.queryExecution().analyzed().toString().find("MemoryPlan") < 0
