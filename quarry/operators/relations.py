@@ -24,3 +24,20 @@ def lag_by(df: DataFrame, partition: list[str], order: list[str], value: str, of
     for k, c in enumerate(partition):
         on &= F.col(c).eqNullSafe(F.col(f"_p{k}"))
     return rows.join(other, on, "left").select(*df.columns, name)
+
+
+def band(left: DataFrame, right: DataFrame, x: str, y: str, width: float, tasks: int = 16) -> DataFrame:
+    """``left`` joined with ``right`` on ``x < y <= x + width``.
+
+    Values are numbered by steps of an eighth of the width, and a left row meets the rows of its steps alone.  The pairs may be
+    far more than the rows, so the left rows are dealt to ``tasks`` tasks a core, whatever their size, and meet a copy of the
+    right side, which is held whole by each executor; pairs only stream through.
+    """
+    step = lambda c: F.floor(c / F.lit(width / 8)).cast("long")
+    n = tasks * left.sparkSession.sparkContext.defaultParallelism
+    # by the sum itself, whose rounding counts
+    steps = F.sequence(step(F.col(x)), step(F.col(x) + F.lit(width)))
+    rows = left.filter(F.col(x) < float("inf")).repartition(n).withColumn("_step", F.explode(steps))
+    other = right.filter(F.col(y).isNotNull()).withColumn("_step", step(F.col(y)))
+    near = (F.col(y) > F.col(x)) & (F.col(y) <= F.col(x) + F.lit(width))
+    return rows.join(F.broadcast(other), "_step").filter(near).drop("_step")

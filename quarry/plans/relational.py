@@ -38,7 +38,15 @@ by_sql("join_left", f"SELECT c_custkey, count(o_orderkey) AS n, {EXACT('o_totalp
 by_sql("join_right", "SELECT o_orderkey, s_name, r_name FROM supplier RIGHT JOIN orders ON o_custkey = s_suppkey LEFT JOIN region ON r_regionkey = o_orderkey % 7")
 by_sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey")
 by_sql("join_cross", "SELECT a.r_name AS left_name, b.n_name AS right_name FROM region a CROSS JOIN nation b")
-by_sql("join_theta_band", "SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal AND b.s_acctbal <= a.s_acctbal + 100")
+
+@query("SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal AND b.s_acctbal <= a.s_acctbal + 100")
+def join_theta_band(spark, sf_dir):
+    """The balances above, up to 100."""
+    s = load(spark, sf_dir, "supplier")
+    a, b = s.select(F.col("s_suppkey").alias("low"), F.col("s_acctbal").alias("x")), s.select(F.col("s_suppkey").alias("high"), F.col("s_acctbal").alias("y"))
+    return relations.band(a, b, "x", "y", 100.0).select("low", "high")
+
+
 by_sql("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 by_sql("join_nullsafe", "SELECT a.o_orderkey AS a_key, b.r_regionkey AS b_key FROM (SELECT o_orderkey, nullif(o_orderkey % 6, 5) AS k FROM orders) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 4) AS k FROM region) b ON a.k <=> b.k",
        "SELECT a.o_orderkey AS a_key, b.r_regionkey AS b_key FROM (SELECT o_orderkey, nullif(o_orderkey % 6, 5) AS k FROM orders) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 4) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k")

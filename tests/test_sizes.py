@@ -4,6 +4,7 @@ import datetime
 import time
 
 import duckdb
+from pyspark.sql import functions as F
 
 from quarry import plans
 
@@ -46,3 +47,13 @@ def test_streams_leave_their_rows_in_files(spark, tmp_path):
         assert got == want
     df = plans.QUERIES["stream_session"](spark, str(tmp_path / "stream_session"))
     assert df.inputFiles() and df._jdf.queryExecution().analyzed().toString().find("MemoryPlan") < 0
+
+
+def test_band_join_deals_its_pairs_to_many_tasks(spark, tmp_path):
+    values = [99.99999999999999, 200.0, 199.99999999999997, 0.0, -0.0, -999.5, -899.5, 1e300, -1e300, float("nan"), float("inf"), float("-inf"), None, 0.1, 100.1, 100.09999999999999]
+    rows = list(enumerate(values + [float(k * 37 % 5000) / 4 for k in range(1500)]))
+    got, want = both(spark, tmp_path, "join_theta_band", "supplier", rows, "s_suppkey long, s_acctbal double")
+    assert got == want and (0, 1) in got
+    df = plans.QUERIES["join_theta_band"](spark, str(tmp_path))
+    each = [n for (n,) in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect()]
+    assert len(each) > 64 and max(each) < len(got) / 16
