@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def tokens(text: Column) -> Column:
 
 
 def count(words_: Column, word: str, prefix: bool) -> Column:
-    """How many unstemmed words have this token (or, by ``prefix``, one that starts so); only words that can are stemmed."""
+    """How many unstemmed words have this token (or, by ``prefix``, one that starts so); only words that can are _stem."""
     start = word[:-3] if prefix or word.endswith("cao") else word[:-2] if word.endswith("ao") else word[:-1] if word.endswith("y") else word
     near = F.transform(F.filter(words_, lambda w: w.startswith(start)), _stem)
     return F.size(F.filter(near, lambda w: w.startswith(word) if prefix else w == word))
@@ -130,10 +131,38 @@ def matches(tokens_: Column, query: Query) -> Column:
     return F.exists(F.array(tokens_), test)  # the lambda's variable holds the tokens, so they are computed once
 
 
+@lru_cache(1)
+def _spellings() -> dict[str, str]:
+    """The characters that fold to a character, itself left out."""
+    out: dict[str, str] = {}
+    for c in map(chr, range(0x110000)):
+        if c.isalnum() and (f := fold(c)) != c and len(f) == 1:
+            out[f] = out.get(f, "") + c
+    return out
+
+
+def spelled(term: str) -> str | None:
+    """A pattern of the whole words whose token is ``term``; none where a character folds by its place (final sigma)."""
+    found = {term} | {term[: len(term) - len(to)] + suffix for suffix, to, _ in SUFFIXES if term.endswith(to)}
+    found = sorted(w for w in found if stem(w) == term)
+    if set("".join(found)) & set("\u03c3\u03c2"):
+        return None
+    one = lambda w: "".join(f"[{c}{_spellings().get(c, '')}]" for c in w)
+    # the dot that I with a dot leaves when it is lowered ends a token
+    return "|".join([*map(one, found), *[one(w[:-1]) + r"\u0130[\p{L}\p{N}]*" for w in found if w.endswith("i")]]) or "(?!)"
+
+
 def highlight(text: Column, query: Query, open_: str = "[", close: str = "]") -> Column:
     """The text with the query's words between marks."""
     single = sorted({w for g in query.groups for t in g for w in t.words if not t.prefix})
     starts = sorted({t.words[0] for g in query.groups for t in g if t.prefix})
+    whole = [spelled(w) for w in single]
+    if not starts and None not in whole:
+        if not whole:
+            return text
+        marks = [re.sub(r"([\\$])", r"\\\1", m) for m in (open_, close)]
+        # one pass over the text; what is before a word is part of the match, for Java looks behind by half characters
+        return F.regexp_replace(text, rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(whole)})(?![\p{{L}}\p{{N}}])", f"$1{marks[0]}$2{marks[1]}")
     parts = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
 
     def mark(p):

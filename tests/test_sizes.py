@@ -1,12 +1,15 @@
 """Queries on rows that only larger tables have: keys beyond limits, crowded groups, many windows."""
 
 import datetime
+import random
+import re
 import time
 
 import duckdb
 from pyspark.sql import functions as F
 
 from quarry import plans
+from quarry.functions import fts
 
 
 def both(spark, tmp_path, name, table, rows, schema):
@@ -57,3 +60,22 @@ def test_band_join_deals_its_pairs_to_many_tasks(spark, tmp_path):
     df = plans.QUERIES["join_theta_band"](spark, str(tmp_path))
     each = [n for (n,) in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect()]
     assert len(each) > 64 and max(each) < len(got) / 16
+
+
+WORDS = ["of", "OF", "ofs", "Öf", "ÓF", "ofİ", "İ", "İx", "xi", "Xİ", "xiİ", "motor", "Motores", "MOTORS", "motoring", "naçao", "NAÇÕES", "nacoes", "city", "cities", "citys", "Kelvin", "οδοΣ", "1Σ", "\U0001d400of", "of\U0001d400", "日本of", "of2", "á", "_", "²", ""]
+
+
+def test_highlight_in_one_pass_marks_as_word_by_word(spark):
+    """Against each word's own token, with the marks that replacements escape."""
+    rnd = random.Random(5)
+    texts = [rnd.choice(["", " "]) + "".join(rnd.choice(WORDS) + rnd.choice([" ", "_", " , ", "\n", "\U0001f600"]) for _ in range(30)) + rnd.choice(WORDS) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    queries = ["of", "i OR xi", "motor", "nacao OR city", "kelvin", "οδος", "of motor", "-of", "cit*"]
+    got = df.select("text", *[fts.highlight(F.col("text"), fts.parse(q), "$1\\[", "]$").alias(f"q{k}") for k, q in enumerate(queries)]).collect()
+    for r in got:
+        for k, q in enumerate(queries):
+            single = {w for g in fts.parse(q).groups for t in g for w in t.words if not t.prefix}
+            hit = lambda w, s=single, q=q: (x := fts.words(w)[0]) in s or q == "cit*" and x.startswith("cit")
+            assert r[f"q{k}"] == (None if r.text is None else re.sub(r"[^\W_]+", lambda m: f"$1\\[{m[0]}]$" if hit(m[0]) else m[0], r.text)), q
+    plan = df.select(fts.highlight(F.col("text"), fts.parse("of")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "lambda" not in plan
