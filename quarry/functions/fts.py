@@ -7,7 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCENTS = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xE0, 0x180)) if c.isalpha() and c == c.lower() and unicodedata.normalize("NFD", c) != c}
@@ -41,9 +41,26 @@ def _stem(w: Column) -> Column:
     return F.when(n <= 3, w).otherwise(out.otherwise(w))
 
 
+def _fold(text: Column) -> Column:
+    return F.translate(text, "".join(ACCENTS), "".join(ACCENTS.values()))
+
+
+def _split(text: Column) -> Column:
+    return F.split(text, r"[^\p{L}\p{N}]+")
+
+
 def unstemmed(text: Column) -> Column:
-    folded = F.translate(F.lower(text), "".join(ACCENTS), "".join(ACCENTS.values()))
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(_split(_fold(F.lower(text))), lambda w: w != "")
+
+
+def counted(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key, term, n``: how often each token occurs in the rows of a key.
+
+    A key's different words are counted first and only they are folded (letters stay letters, so words stay whole) and stemmed.
+    """
+    words_ = df.select(key, F.explode(_split(F.lower(text))).alias("word")).filter("word <> ''").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    folded = words_.select(key, _fold(F.col("word")).alias("word"), "n")
+    return folded.select(key, _stem(F.col("word")).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
 def tokens(text: Column) -> Column:

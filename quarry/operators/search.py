@@ -74,6 +74,16 @@ def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def frequencies(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, term, n``: the postings' lengths, without their positions.
+
+    Texts are dealt by key, so that a key's words meet where they are split and no word is shuffled.
+    """
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return fts.counted(df.select(key, *columns).repartition(tasks, key), key, F.concat_ws(" ", *columns))
+
+
 def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """The k nearest rows, exactly; a condition is applied first.  Ties go by key."""
     q = F.array(*[F.lit(float(x)) for x in query])

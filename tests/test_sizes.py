@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import plans
 from quarry.functions import fts
+from quarry.operators import search
 
 
 def both(spark, tmp_path, name, table, rows, schema):
@@ -79,3 +80,19 @@ def test_highlight_in_one_pass_marks_as_word_by_word(spark):
             assert r[f"q{k}"] == (None if r.text is None else re.sub(r"[^\W_]+", lambda m: f"$1\\[{m[0]}]$" if hit(m[0]) else m[0], r.text)), q
     plan = df.select(fts.highlight(F.col("text"), fts.parse("of")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and "lambda" not in plan
+
+
+def test_frequencies_are_the_lengths_of_postings(spark, tmp_path):
+    texts = ["Café cafe CAFÉS, naçao nações", "cafe", "", None, "motoring motor Motors_motor", "İx of²", "the thing"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(4, "motors again"), (None, "the the")], "id long, text string")
+    want = {(r.id, r.term): r.n for r in search.postings(docs, "id", ["text"]).select("id", "term", F.size("positions").alias("n")).collect()}
+    out = search.frequencies(docs, "id", ["text"])
+    assert {(r.id, r.term): r.n for r in out.collect()} == want and want[4, "motor"] == 5
+    out = search.frequencies(docs, "id", ["text"])  # its plan before it runs
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of texts, none of words
+
+
+def test_postings_count_documents_as_their_sql(spark, tmp_path):
+    rows = [(k % 60, f"word{k % 3} été {k}s") for k in range(240)] + [(None, "word1 word1")]
+    got, want = both(spark, tmp_path, "fts_postings", "documents", rows, "doc_id long, text string")
+    assert got == want and len(got) == 1
